@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.llm import external_shuffle
+from textloom.llm import byte_bpe, external_shuffle
 
-_MODULES = (external_shuffle,)
+_MODULES = (byte_bpe, external_shuffle)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
