@@ -9,37 +9,51 @@ a lot, so each distinct one is encoded once per worker.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 #: The code points with the White_Space property, as a character class's content.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _CUTS = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
-#: Entries of a worker's memo; at this size it starts anew.
-MEMO_ENTRIES = 300_000
+#: Entries of a generation of a worker's memo. It keeps two: when the newer is full, the older goes, and
+#: what is used again moves to the newer.
+MEMO_ENTRIES = 400_000
 #: Longer cuts are encoded each time they occur.
 MEMO_CHARS = 64
+#: Characters of text whose new cuts are encoded in one call.
+GROUP_CHARS = 1 << 17
 
 cuts = _CUTS.findall
 
 
-class Memo(dict):
+class Memo:
     """cut -> value; ``encode`` gets a list of new cuts and returns their values."""
 
     def __init__(self, encode: Callable[[list[str]], list]):
-        super().__init__()
         self.encode = encode
-
-    def values_of(self, text: str) -> list:
-        found = cuts(text)
-        try:
-            return [self[c] for c in found]
-        except KeyError:
-            pass
-        new = list({c for c in found if c not in self})
-        values = dict(zip(new, self.encode(new), strict=True))
-        out = [values[c] if c in values else self[c] for c in found]
-        if len(self) + len(new) > MEMO_ENTRIES:
-            self.clear()
-        self.update((c, v) for c, v in values.items() if len(c) <= MEMO_CHARS)
-        return out
+        self.newer: dict = {}
+        self.older: dict = {}
+
+    def values(self, texts: Iterable[str]) -> Iterator[list]:
+        """The values of each text's cuts, text by text."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(cuts(text))
+            size += len(text)
+            if size >= GROUP_CHARS:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, held: list[list[str]]) -> Iterator[list]:
+        known = [list(map(self.newer.get, found)) for found in held]
+        lost = {c for found, out in zip(held, known, strict=True) if None in out for c, v in zip(found, out, strict=True) if v is None}
+        again = {c: self.older[c] for c in lost if c in self.older}
+        new = [c for c in lost if c not in again]
+        again.update(zip(new, self.encode(new), strict=True))
+        for found, out in zip(held, known, strict=True):
+            yield [again[c] if v is None else v for c, v in zip(found, out, strict=True)] if None in out else out
+        if len(self.newer) + len(again) > MEMO_ENTRIES:
+            self.older, self.newer = self.newer, {}
+        self.newer.update((c, v) for c, v in again.items() if len(c) <= MEMO_CHARS)

@@ -92,6 +92,7 @@ class Codec:
     def __init__(self, rank_data: bytes, pattern: str = public_tokenizers.PATTERN):
         self.tokens = read_ranks(rank_data)
         self.alphabet = byte_alphabet()
+        self.space = self.alphabet[32]
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
         w = _chunks.WHITE  # the regex module's own \s has four characters more
         for old, new in ((r"[^\s\p{L}\p{N}]", rf"[^{w}\p{{L}}\p{{N}}]"), (r"\S", f"[^{w}]"), (r"\s", f"[{w}]")):
@@ -105,10 +106,14 @@ class Codec:
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
-        parts = [[self.mapped(p.encode()) for p in self.pre_tokens(t)] for t in texts]
-        flat = list({p for ps in parts for p in ps})
-        ids = dict(zip(flat, self.pieces.encode(flat, num_threads=1), strict=True)) | self.whole
-        return [[i for p in ps for i in ids[p]] for ps in parts]
+        space, mapped = self.space, self.mapped
+        # Printable ASCII stands for itself but for the space.
+        parts = [[p.replace(" ", space) if p.isascii() and p.isprintable() else mapped(p.encode()) for p in found] for found in map(self.pre_tokens, texts)]
+        ids = self.pieces.encode([p for ps in parts for p in ps], num_threads=1)
+        if self.whole:
+            ids = [self.whole.get(p, own) for p, own in zip((p for ps in parts for p in ps), ids, strict=True)]
+        each = iter(ids)
+        return [next(each) if len(ps) == 1 else [i for _ in ps for i in next(each)] for ps in parts]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -129,25 +134,27 @@ def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
 
-        def encode(new: list[str]) -> list[tuple[list[int], str, bytes]]:
-            return [(ids, " ".join(map(str, ids)), codec.decode(ids)) for ids in codec.encode_many(new)]
+        counted, hashed, restored = "n_tokens" in want, "ids_sha256" in want, "decoded" in want or "decoded_sha256" in want
+
+        def encode(new: list[str]) -> list[tuple]:
+            return [(ids if "ids" in want else None, " ".join(map(str, ids)) if hashed else None, codec.decode(ids) if restored else None, len(ids)) for ids in codec.encode_many(new)]
 
         memo = _chunks.Memo(encode)
         for batch in batches:
             got: dict[str, list] = {w: [] for w in want}
-            for text in batch.column(batch.schema.get_field_index("__text")):
-                found = memo.values_of(text.as_py() or "")
+            for found in memo.values(t.as_py() or "" for t in batch.column(batch.schema.get_field_index("__text"))):
                 if "ids" in got:
                     got["ids"].append([i for x in found for i in x[0]])
-                if "n_tokens" in got:
-                    got["n_tokens"].append(sum(len(x[0]) for x in found))
-                if "ids_sha256" in got:
+                if hashed:
                     got["ids_sha256"].append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                if "decoded" in got or "decoded_sha256" in got:
+                if counted:
+                    got["n_tokens"].append(sum([x[3] for x in found]))
+                if restored:
                     data = b"".join([x[2] for x in found])
-                    for w, f in (("decoded", lambda d: d), ("decoded_sha256", lambda d: hashlib.sha256(d).hexdigest())):
-                        if w in got:
-                            got[w].append(f(data))
+                    if "decoded" in got:
+                        got["decoded"].append(data)
+                    if "decoded_sha256" in got:
+                        got["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
             kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "__text"]
             kept_names = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(got[w], KINDS[w][0]) for w in want)], names=[*kept_names, *names])
