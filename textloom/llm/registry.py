@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.llm import byte_bpe, external_shuffle, near_dedup, pii, token_files
+from textloom.llm import byte_bpe, external_shuffle, language_id, near_dedup, pii, token_files
 
-_MODULES = (byte_bpe, external_shuffle, near_dedup, pii, token_files)
+_MODULES = (byte_bpe, external_shuffle, language_id, near_dedup, pii, token_files)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
