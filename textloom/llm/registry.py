@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.llm import byte_bpe, external_shuffle, kd_search, language_id, near_dedup, pii, token_files
+from textloom.llm import byte_bpe, decontaminate, external_shuffle, kd_search, language_id, near_dedup, pii, token_files
 
-_MODULES = (byte_bpe, external_shuffle, kd_search, language_id, near_dedup, pii, token_files)
+_MODULES = (byte_bpe, decontaminate, external_shuffle, kd_search, language_id, near_dedup, pii, token_files)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
