@@ -57,3 +57,26 @@ class Memo:
         if len(self.newer) + len(again) > MEMO_ENTRIES:
             self.older, self.newer = self.newer, {}
         self.newer.update((c, v) for c, v in again.items() if len(c) <= MEMO_CHARS)
+
+
+class Lookup(dict):
+    """cut -> value, one new cut at a time; starts anew, keeping the old generation, when ``full``."""
+
+    def __init__(self, encode: Callable[[str], bytes], older: dict | None = None):
+        super().__init__()
+        self.encode, self.older = encode, older or {}
+
+    def __missing__(self, cut: str) -> bytes:
+        value = self.older.get(cut)
+        if value is None:
+            value = self.encode(cut)
+        if len(cut) <= MEMO_CHARS:
+            self[cut] = value
+        return value
+
+    def full(self) -> bool:
+        return len(self) > MEMO_ENTRIES
+
+    def successor(self) -> Lookup:
+        self.older = {}
+        return Lookup(self.encode, self)

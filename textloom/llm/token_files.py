@@ -21,10 +21,14 @@ rows of equal id follow in the order of a hash of their ids; an empty table give
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm import _chunks
+from textloom.llm import _chunks, byte_bpe
 from textloom.llm import _common as C
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,10 +47,12 @@ END_ID = 2
 BLOCK = 1_024
 #: A segment is closed by the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 20
+#: The index of segments is broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 #: Longest code, in bits; more only where the number of different ids asks for it. The table has 2^this rows.
 MAX_LENGTH = 20
 
-ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
+ENCODED = "doc_id bigint, n_tokens bigint, ids binary, counts boolean"
 SEGMENTS = "part int, seg int, n_ids bigint, doc_ids array<bigint>, doc_tokens array<bigint>, checkpoints binary, payload binary"
 
 
@@ -94,7 +100,7 @@ class Codebook:
         self.code[self.symbols] = (first >> (self.longest - self.lengths)).astype(np.uint64)
         self.bits[self.symbols] = self.lengths
         self.table_symbol = np.zeros(1 << self.longest, np.uint32)
-        self.table_bits = np.ones(1 << self.longest, np.int64)
+        self.table_bits = np.ones(1 << self.longest, np.uint8)
         filled = int(step.sum())
         self.table_symbol[:filled] = np.repeat(self.symbols, step)
         self.table_bits[:filled] = np.repeat(self.lengths, step)
@@ -128,66 +134,107 @@ class Codebook:
 
 # --- encoding documents -----------------------------------------------------------------------------
 
+#: Cuts that are a word of Latin letters and then ASCII punctuation without apostrophes: the two
+#: pre-tokens are plain to see, so they go straight to the library's BPE model.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Rows handled at a time, so that a worker holds little beside its memo.
+ROWS = 512
 
-def encoded(df: DataFrame, tokenizer_file: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids as little-endian unsigned 32-bit integers), the end id included."""
-    spark = df.sparkSession
-    with open(tokenizer_file or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
-        model = spark.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def encoder(lib, kind: str) -> Callable[[str], bytes]:
+    """Packed ids of one cut with the ``tokenizers`` library."""
+    tokenize, alphabet = lib.model.tokenize, byte_bpe.byte_alphabet()
+    space, code = alphabet[32], "H" if kind == "<u2" else "I"
+    swap = sys.byteorder == "big"
 
-        lib = Tokenizer.from_str(model.value)
-        as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
-        memo = _chunks.Memo(lambda new: [as_bytes(e.ids) for e in lib.encode_batch(new, add_special_tokens=False)])
-        # Strings that the library takes out of a text before it cuts it: such a text is encoded as one.
-        whole = [t["content"] for t in json.loads(model.value)["added_tokens"]]
-        end = as_bytes([end_id])
-        for batch in batches:
-            out = []
-            for cell in batch.column(1):
-                text = cell.as_py() or ""
-                if any(w in text for w in whole):
-                    out.append(as_bytes(lib.encode(text, add_special_tokens=False).ids) + end)
-                else:
-                    out.append(b"".join(memo.values_of(text)) + end)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+    def packed(ids: list[int]) -> bytes:
+        out = array(code, ids)
+        if swap:
+            out.byteswap()
+        return out.tobytes()
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
+    def ids(pre_token: str) -> list[int]:
+        mapped = pre_token.replace(" ", space) if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(alphabet)
+        return [t.id for t in tokenize(mapped)]
 
+    def encode(cut: str) -> bytes:
+        if not (m := _PLAIN(cut)):
+            return packed(lib.encode(cut, add_special_tokens=False).ids)
+        return packed(ids(m[1]) + ids(m[2]) if m[2] else ids(m[1]))
+
+    return encode
+
+
+def _library(model: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(model)
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids as 16-bit integers where all fit, with the width: half the bytes to shuffle."""
-    for batch in batches:
-        ids = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(2)]
-        small = [len(x) == 0 or int(x.max()) < 1 << 16 for x in ids]
-        packed = [x.astype("<u2").tobytes() if s else x.tobytes() for x, s in zip(ids, small, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "small", "ids"])
 
+def encoded(df: DataFrame, tokenizer_file: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(doc_id, n_tokens, ids, counts) and the type of the packed ids, the end id included.
 
-def _unpacked(data: bytes, small: bool) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if small else "<u4").astype(np.int64)
+    Each task ends with one more row, marked by ``counts``: how often each id occurred in it, as packed
+    64-bit pairs. So counting needs no second look at the ids.
+    """
+    spark = df.sparkSession
+    with open(tokenizer_file or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        text = f.read()
+    model = spark.sparkContext.broadcast(text)
+    kind = "<u2" if max(end_id, *_library(text).get_vocab(True).values()) < 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = _library(model.value)
+        # The cuts are those of the plain byte-level pre-tokenizer; any other file is used text by text.
+        parts = json.loads(model.value)
+        by_cut = parts["normalizer"] is None and parts["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        # Strings that the library takes out of a text before it cuts it: such a text is encoded as one.
+        whole = [t["content"] for t in parts["added_tokens"]]
+        memo = _chunks.Lookup(encoder(lib, kind))
+        gc.disable()  # the memo is large and free of cycles
+        end, total, width = np.array([end_id], kind).tobytes(), np.zeros(0, np.int64), np.dtype(kind).itemsize
+
+        def rows(ids: list, docs: pa.Array, counts: bool) -> pa.RecordBatch:
+            columns = [docs, pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([counts] * len(ids))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "counts"])
+
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                texts = [t.as_py() or "" for t in some.column(1)]
+                out = []
+                for t in texts:
+                    if by_cut and not any(w in t for w in whole):
+                        out.append(b"".join(map(memo.__getitem__, _chunks.cuts(t))) + end)
+                    else:
+                        out.append(np.array(lib.encode(t, add_special_tokens=False).ids, kind).tobytes() + end)
+                if memo.full():
+                    memo = memo.successor()
+                got = np.bincount(np.frombuffer(b"".join(out), kind), minlength=len(total))
+                got[: len(total)] += total
+                total = got
+                yield rows(out, some.column(0), False)
+        used = np.flatnonzero(total)
+        yield rows([np.stack([used, total[used]], 1).astype("<i8").tobytes()], pa.array([None], pa.int64()), True)
+
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED), kind
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        for small, data in zip(batch.column(0), batch.column(1), strict=True):
-            got = np.bincount(_unpacked(data.as_py(), small.as_py()), minlength=len(total))
-            got[: len(total)] += total
-            total = got
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["symbol", "n"])
+        for data in batch.column(0):
+            pairs = np.frombuffer(data.as_py(), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["symbol", "n"])
 
 
 def write_files(df: DataFrame, path: str | None = None, tokenizer_file: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LENGTH) -> str:
     """Encode and write; returns the folder. Only the counts by id, as many as the vocabulary has, reach the driver."""
     spark = df.sparkSession
     path = path or C.fresh_path(spark, "tokens")
-    ids = C.written(encoded(df, tokenizer_file, end_id, id_col, text_col).mapInArrow(_packed, "doc_id bigint, n_tokens bigint, small boolean, ids binary"), "ids")
-    counts = ids.select("small", "ids").mapInArrow(_counted, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
+    rows, kind = encoded(df, tokenizer_file, end_id, id_col, text_col)
+    rows = C.written(rows, "ids")
+    counts = rows.where("counts").select("ids").mapInArrow(_counted, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
     symbols, n = counts.symbol.to_numpy(np.int64), counts.n.to_numpy(np.int64)
     lengths = code_lengths(n, limit)
     spark.createDataFrame(list(zip(symbols.tolist(), lengths.tolist(), strict=True)), "symbol bigint, length int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -206,9 +253,9 @@ def write_files(df: DataFrame, path: str | None = None, tokenizer_file: str | No
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for batch in batches:
-            for doc, small, data in zip(*batch.columns[:3], strict=True):
+            for doc, data in zip(*batch.columns[:2], strict=True):
                 docs.append(doc.as_py())
-                held.append(_unpacked(data.as_py(), small.as_py()))
+                held.append(np.frombuffer(data.as_py(), kind).astype(np.int64))
                 size += len(held[-1])
                 if size >= SEGMENT_IDS:
                     yield segment()
@@ -216,10 +263,9 @@ def write_files(df: DataFrame, path: str | None = None, tokenizer_file: str | No
         if docs:
             yield segment()
 
-    tie = F.xxhash64("ids")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.withColumn("tie", tie).repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.select("doc_id", "small", "ids").mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
+    ordered = rows.where("NOT counts").withColumn("tie", F.xxhash64("ids")).repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "ids").mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
     return path
 
 
@@ -252,6 +298,9 @@ def read_files(spark: SparkSession, path: str, want: tuple[str, ...] = ("ids",))
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(got[w](), kinds[w][0]) for w in want)], names=["doc_id", "start", "n_tokens", *want])
 
     schema = ", ".join(["doc_id bigint, start bigint, n_tokens bigint", *(f"{w} {kinds[w][1]}" for w in want)])
+    # A row of the index is some 30 bytes for a segment of a MB; beyond the bound the segments are shuffled.
+    if sizes.count() * 32 <= BROADCAST_BYTES:
+        starts = F.broadcast(starts)
     return segments.join(starts, ["part", "seg"]).mapInArrow(run, schema)
 
 
