@@ -1,4 +1,76 @@
-STAGES = []
+"""From raw documents to token ids: five stages, each written as Parquet and read by the next.
+
+Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of ``documents``.
+A row whose column is null, or a repeated row, is treated as the stage's operator defines it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from textloom.llm import _common as C
+from textloom.llm import byte_bpe, decontaminate, language_id, near_dedup, pii
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents of no language (null, empty, without a letter) go."""
+    filters = language_id.learn(docs)
+    out, lang, _ = language_id.predict(docs, filters)
+    return out.where(F.col(lang) != language_id.UNKNOWN).select(docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicates: of each group the document with the least id stays, and of its repeated rows one."""
+    groups = near_dedup.near_duplicates(docs)
+    gone = groups.where("NOT kept").select("doc_id").distinct()
+    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if not repeated.limit(1).count():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(again.dropDuplicates(["doc_id"]))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    out, items = decontaminate.find_items(docs, C.table(spark, sf_dir, "benchmark"))
+    return out.where(F.size(items) == 0).select(docs.columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: spans give way to their kind in brackets; the length follows."""
+    spans = C.free_name(docs.columns, "spans")
+    candidates = pii.candidates(docs, "text", spans)
+    # Training reads small rows; the texts stay where they are and are searched again with the weights.
+    small = C.written(candidates.where(F.size(spans) > 0).select(spans), "pii")
+    weights = pii.train(small, spans)
+    marked = candidates.withColumn(spans, pii.chosen(weights, spans))
+    text = pii.redacted("text", spans)
+    out = marked.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: each document's ids, and the digest of what they decode to."""
+    out, names = byte_bpe.encode_decode(docs.select("doc_id", "text"), ("ids", "n_tokens", "decoded_sha256"))
+    ids, n, digest = names
+    return out.select("doc_id", F.col(n).alias("n_tokens"), F.col(ids).alias("ids"), F.col(digest).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", identified),
+    ("near_dedup", deduplicated),
+    ("decontaminate", decontaminated),
+    ("pii", redacted),
+    ("byte_bpe", tokenised),
+]
+
+#: Stages that SQL cannot express; tests hold the result against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = C.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
