@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.llm import byte_bpe, decontaminate, external_shuffle, kd_search, language_id, near_dedup, pii, token_files, toxicity
+from textloom.llm import byte_bpe, decontaminate, external_shuffle, html_extract, kd_search, language_id, near_dedup, pii, token_files, toxicity
 
-_MODULES = (byte_bpe, decontaminate, external_shuffle, kd_search, language_id, near_dedup, pii, token_files, toxicity)
+_MODULES = (byte_bpe, decontaminate, external_shuffle, html_extract, kd_search, language_id, near_dedup, pii, token_files, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
