@@ -1,6 +1,8 @@
-"""Registered queries and their DuckDB oracles."""
+"""All registered queries and their DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from textloom.plans import relational, series, text  # noqa: F401
+from textloom.plans._registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
