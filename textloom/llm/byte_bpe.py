@@ -16,10 +16,13 @@ new column whose name is taken gets an underscore in front.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -32,6 +35,9 @@ from textloom.llm import _common as C
 
 RANKS = "byte_bpe_50k.tiktoken"
 
+#: Rows handled at a time, so that a worker holds little beside its memo.
+ROWS = 256
+
 #: What ``encode_decode`` can return, with its Arrow and Spark types.
 KINDS = {
     "ids": (pa.list_(pa.int32()), "array<int>"),
@@ -119,6 +125,12 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def _lists(packed: list[bytes]) -> pa.Array:
+    """Arrays of 32-bit ids from their bytes."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str = "text", rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN) -> tuple[DataFrame, list[str]]:
     """Adds the columns ``want`` (see KINDS) to ``df``; returns it and the names that they got.
 
@@ -137,27 +149,31 @@ def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str
         counted, hashed, restored = "n_tokens" in want, "ids_sha256" in want, "decoded" in want or "decoded_sha256" in want
 
         def encode(new: list[str]) -> list[tuple]:
-            return [(ids if "ids" in want else None, " ".join(map(str, ids)) if hashed else None, codec.decode(ids) if restored else None, len(ids)) for ids in codec.encode_many(new)]
+            kept = (lambda ids: array("i", ids).tobytes()) if "ids" in want else (lambda ids: None)
+            return [(kept(ids), " ".join(map(str, ids)) if hashed else None, codec.decode(ids) if restored else None, len(ids)) for ids in codec.encode_many(new)]
 
         memo = _chunks.Memo(encode)
+        gc.disable()  # the memo is large and free of cycles
         for batch in batches:
-            got: dict[str, list] = {w: [] for w in want}
-            for found in memo.values(t.as_py() or "" for t in batch.column(batch.schema.get_field_index("__text"))):
-                if "ids" in got:
-                    got["ids"].append([i for x in found for i in x[0]])
-                if hashed:
-                    got["ids_sha256"].append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                if counted:
-                    got["n_tokens"].append(sum([x[3] for x in found]))
-                if restored:
-                    data = b"".join([x[2] for x in found])
-                    if "decoded" in got:
-                        got["decoded"].append(data)
-                    if "decoded_sha256" in got:
-                        got["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
-            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "__text"]
-            kept_names = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(got[w], KINDS[w][0]) for w in want)], names=[*kept_names, *names])
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                got: dict[str, list] = {w: [] for w in want}
+                for found in memo.values(t.as_py() or "" for t in some.column(some.schema.get_field_index("__text"))):
+                    if "ids" in got:
+                        got["ids"].append(b"".join([x[0] for x in found]))
+                    if hashed:
+                        got["ids_sha256"].append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
+                    if counted:
+                        got["n_tokens"].append(sum([x[3] for x in found]))
+                    if restored:
+                        data = b"".join([x[2] for x in found])
+                        if "decoded" in got:
+                            got["decoded"].append(data)
+                        if "decoded_sha256" in got:
+                            got["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
+                made = [_lists(got[w]) if w == "ids" else pa.array(got[w], KINDS[w][0]) for w in want]
+                kept = [(n, c) for n, c in zip(some.schema.names, some.columns, strict=True) if n != "__text"]
+                yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *made], names=[*(n for n, _ in kept), *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` {KINDS[w][1]}" for n, w in fields)])
     return df.withColumn("__text", F.col(text_col)).mapInArrow(run, schema), names
