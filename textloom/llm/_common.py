@@ -26,12 +26,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, packed: bool = False, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, so that a
-    lost executor costs no more than the stage that it was running."""
+    lost executor costs no more than the stage that it was running. ``packed``: its bytes would not
+    compress any further."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
+    path = path or fresh_path(spark, label)
+    df.write.option("compression", "uncompressed" if packed else "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

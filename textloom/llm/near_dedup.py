@@ -43,7 +43,7 @@ MANTISSA = 10
 #: Estimates have a standard deviation of 0.025 at the threshold.
 MARGIN = 0.115
 #: Members on either side of a block.
-CHUNK = 512
+CHUNK = 384
 #: Ids and keys are broadcast up to so many bytes, and joined by shuffling beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -230,14 +230,14 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id (the least doc_id that links reach), kept."""
-    docs = C.written(sketches(df, size, id_col, text_col), "sketches")
+    docs = C.written(sketches(df, size, id_col, text_col), "sketches", packed=True)
     classes = docs.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
 
     band = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band", "key")
     bands = classes.select("cls", band)
     shared = C.written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
     members = C.written(bands.join(_small(shared, 32), "key"), "members")
-    known = C.written(classes.join(_small(members.select("cls").distinct(), 16), "cls", "left_semi"), "candidates")
+    known = C.written(classes.join(_small(members.select("cls").distinct(), 16), "cls", "left_semi"), "candidates", packed=True)
 
     # Leaders: the member that meets most others, in all its groups.
     ranks = members.groupBy("cls").agg(F.sum("size").alias("met"))
@@ -259,7 +259,7 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
                 right = [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s)))) == c.as_py() for s, c in zip(sets, some.column(0), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"]).filter(pa.array(right, pa.bool_()))
 
-    sets = C.written(texts.select("cls", "text").mapInArrow(run, "cls bigint, shingles binary"), "sets")
+    sets = C.written(texts.select("cls", "text").mapInArrow(run, "cls bigint, shingles binary"), "sets", packed=True)
     if df.select(id_col).count() != docs.select("doc_id").distinct().count():  # repeated ids
         sets = C.written(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
     full = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
