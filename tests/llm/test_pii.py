@@ -105,3 +105,14 @@ def test_redaction(spark):
     out, name = pii.find(df)
     got = {r.doc_id: r.t for r in out.select("doc_id", pii.redacted("text", name).alias("t")).collect()}
     assert got == {1: "né [EMAIL], ip [IP].", 2: None, 3: "none"}
+
+
+def test_base_spans_of_random_texts(spark):
+    import random
+
+    rng = random.Random(11)
+    pieces = ["a", "b1", ".", "@", "+", "-", " ", "(", ")", "_", "%", "12", "255", "256", "0", "4111111111111111", "4111-1111 1111 1111", "1.2.3.4", "x@y.z", "+1 (2) 3-4.5678", "é", "\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    out, name = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights={})
+    for r in out.collect():
+        assert [(s.start, s.rank, s.kind, s.end) for s in r[name] if s.base] == base_of(r.text), r.text
