@@ -8,6 +8,7 @@ a lot, so each distinct one is encoded once per worker.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,6 +19,8 @@ _CUTS = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Entries of a generation of a worker's memo. It keeps two: when the newer is full, the older goes, and
 #: what is used again moves to the newer.
 MEMO_ENTRIES = 400_000
+#: The same for memos of packed ids, which are smaller.
+LOOKUP_ENTRIES = 600_000
 #: Longer cuts are encoded each time they occur.
 MEMO_CHARS = 64
 #: Characters of text whose new cuts are encoded in one call.
@@ -26,6 +29,20 @@ GROUP_CHARS = 1 << 17
 cuts = _CUTS.findall
 
 
+def collector_off(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For batch functions with a large memo free of cycles: the collector would walk it over and over. It
+    is on again afterwards, as workers serve other functions too."""
+
+    def off(batches: Iterator) -> Iterator:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return off
+
+
 class Memo:
     """cut -> value; ``encode`` gets a list of new cuts and returns their values."""
 
@@ -75,7 +92,7 @@ class Lookup(dict):
         return value
 
     def full(self) -> bool:
-        return len(self) > MEMO_ENTRIES
+        return len(self) > LOOKUP_ENTRIES
 
     def successor(self) -> Lookup:
         self.older = {}

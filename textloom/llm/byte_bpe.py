@@ -16,7 +16,6 @@ new column whose name is taken gets an underscore in front.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import struct
 from array import array
@@ -143,6 +142,7 @@ def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str
     names = [C.free_name(df.columns, w) for w in want]
     fields = list(zip(names, want, strict=True))
 
+    @_chunks.collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
 
@@ -153,7 +153,6 @@ def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str
             return [(kept(ids), " ".join(map(str, ids)) if hashed else None, codec.decode(ids) if restored else None, len(ids)) for ids in codec.encode_many(new)]
 
         memo = _chunks.Memo(encode)
-        gc.disable()  # the memo is large and free of cycles
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 some = batch.slice(at, ROWS)

@@ -15,7 +15,6 @@ no label of one class, or none at all, every text gets the share of toxic labels
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -258,8 +257,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFram
     name = C.free_name(df.columns, "score")
     sent = df.sparkSession.sparkContext.broadcast(model)
 
+    @_chunks.collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the memo is large and free of cycles
         features = Features(sent.value.lexicon)
         for batch in batches:
             x = _vectors(batch.column(batch.schema.get_field_index("__text")), features)
