@@ -184,6 +184,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     carried = summed.withColumn("high", F.expr("(high + shiftrightunsigned(low, 32)) & 4294967295")).withColumn("low", F.expr("low & 4294967295"))
     summed = C.written(carried, "tokens")
     hosts = summed.where("token = ''").where(F.col("pages") >= PAGES).select("host", F.col("pages").alias("all"))
+    if hosts.count() * 64 <= BROADCAST_BYTES:  # else joined by shuffling
+        hosts = F.broadcast(hosts)
     often = summed.where("token <> ''").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
     classes = often.groupBy("host", "low", "high", "pages").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= CLASS)
     return classes.select("host", F.explode("tokens").alias("token"))
