@@ -45,6 +45,28 @@ def test_round_trip(ids):
         assert (book.decode(payload, checkpoints[1:2], len(ids[block])) == ids[block]).all()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abB'.,1éªœ漢\n \t"), max_size=40))
+def test_words_between_spaces_like_whole_texts(text):
+    lib, encode, lines = _made()
+    ids = lines(text)
+    whole = np.array(lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert ids is None or ids == whole
+    assert b"".join(map(encode, T._chunks.cuts(text))) == whole
+
+
+_kept = []
+
+
+def _made():
+    if not _kept:
+        with open(P.path(T.TOKENIZER), encoding="utf-8") as f:
+            lib = T._library(f.read())
+        encode = T.encoder(lib, "<u2")
+        _kept.extend([lib, encode, T.Lines(lib, "<u2")])
+    return _kept
+
+
 def expected(rows):
     lib = Tokenizer.from_file(P.path(T.TOKENIZER))
     start, out = 0, []

@@ -20,7 +20,7 @@ _CUTS = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: what is used again moves to the newer.
 MEMO_ENTRIES = 400_000
 #: The same for memos of packed ids, which are smaller.
-LOOKUP_ENTRIES = 600_000
+LOOKUP_ENTRIES = 500_000
 #: Longer cuts are encoded each time they occur.
 MEMO_CHARS = 64
 #: Characters of text whose new cuts are encoded in one call.

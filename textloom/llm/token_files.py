@@ -21,7 +21,6 @@ rows of equal id follow in the order of a hash of their ids; an empty table give
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -50,7 +49,7 @@ SEGMENT_IDS = 1 << 20
 #: The index of segments is broadcast up to so many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Longest code, in bits; more only where the number of different ids asks for it. The table has 2^this rows.
-MAX_LENGTH = 20
+MAX_LENGTH = 18
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary, counts boolean"
 SEGMENTS = "part int, seg int, n_ids bigint, doc_ids array<bigint>, doc_tokens array<bigint>, checkpoints binary, payload binary"
@@ -111,11 +110,16 @@ class Codebook:
         ends = np.cumsum(bits)
         at = ends - bits
         words = int(ends[-1] + 31) // 32 if len(ids) else 0
-        # Each code lies within 64 bits from the 32-bit word it starts in; codes don't overlap, so sums are unions.
+        # Each code lies within 64 bits from the 32-bit word it starts in. Those that start in one word are
+        # joined, and the low half of each goes to the next word.
         window = self.code[ids] << (64 - (at & 31) - bits).astype(np.uint64)
         word = at >> 5
-        out = np.bincount(word, (window >> np.uint64(32)).astype(np.float64), words + 1)
-        out += np.bincount(word + 1, (window & np.uint64(0xFFFFFFFF)).astype(np.float64), words + 1)[: words + 1]
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        joined = np.zeros(words + 1, np.uint64)
+        if len(ids):
+            joined[word[first]] = np.bitwise_or.reduceat(window, first)
+        out = joined >> np.uint64(32)
+        out[1:] |= joined[:-1] & np.uint64(0xFFFFFFFF)
         return out[:words].astype(">u4").tobytes(), at[::BLOCK].astype("<u8")
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n_ids: int) -> np.ndarray:
@@ -157,14 +161,95 @@ def encoder(lib, kind: str) -> Callable[[str], bytes]:
         mapped = pre_token.replace(" ", space) if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(alphabet)
         return [t.id for t in tokenize(mapped)]
 
+    marks: dict[str, bytes] = {}  # packed ids of short runs of punctuation
+
     def encode(cut: str) -> bytes:
         if not (m := _PLAIN(cut)):
             return packed(lib.encode(cut, add_special_tokens=False).ids)
-        return packed(ids(m[1]) + ids(m[2]) if m[2] else ids(m[1]))
+        if not (mark := m[2]):
+            return packed(ids(m[1]))
+        if (after := marks.get(mark)) is None:
+            after = packed(ids(mark))
+            if len(mark) < 3:
+                marks[mark] = after
+        return packed(ids(m[1])) + after
 
     return encode
 
 
+#: What a text must not hold to be split at its spaces and line ends alone: every other white space
+#: character, and two of these two in a row.
+_ODD = ("  ", " \n", "\n ", "\n\n", *map(chr, (0x09, 0x0B, 0x0C, 0x0D)))
+_ODD_BEYOND = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+class Words(dict):
+    """word -> packed ids, of the space or line end before it too; see ``Lines``.
+
+    Most words are letters with a comma or full stop at most, so these go to the BPE model without a
+    detour. Two generations, as in ``_chunks.Lookup``.
+    """
+
+    def __init__(self, lib, kind: str, older: dict | None = None):
+        super().__init__()
+        self.lib, self.kind, self.older = lib, kind, older or {}
+        self.tokenize, self.encode = lib.model.tokenize, encoder(lib, kind)
+        self.alphabet, self.code = byte_bpe.byte_alphabet(), ("H" if kind == "<u2" else "I") if sys.byteorder == "little" else None
+        self.space, self.newline = self.alphabet[32], self.encode("\n")
+        self.marks = {m: self.encode(m) for m in ".,"}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.older.get(word)
+        if value is None:
+            value = self._ids(word)
+        if len(word) <= _chunks.MEMO_CHARS:
+            self[word] = value
+        return value
+
+    def _ids(self, word: str) -> bytes:
+        after = self.marks.get(word[-1:])
+        bare = word if after is None else word[:-1]
+        if not (self.code and bare.isalpha()):
+            return self.newline + self.encode(word[1:]) if word[:1] == "\n" else self.encode(" " + word)
+        if after is not None and (known := self.get(bare) or self.older.get(bare)):
+            return known + after
+        if bare.isascii():
+            mapped = self.space + bare
+        elif max(bare) < "\u0250":
+            mapped = self.space + bare.encode().decode("latin-1").translate(self.alphabet)
+        else:
+            return self.encode(" " + word)
+        ids = array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
+        return ids if after is None else ids + after
+
+    def successor(self) -> Words:
+        self.older = {}
+        return Words(self.lib, self.kind, self)
+
+
+class Lines:
+    """Packed ids of texts of words between single spaces and line ends, word by word.
+
+    Each space begins a pre-token with the word after it, and each line end is one. So the ids of a text
+    are those of its words, where a word after a line end stands for both.
+    """
+
+    def __init__(self, lib, kind: str):
+        self.memo = Words(lib, kind)
+
+    def __call__(self, text: str) -> bytes | None:
+        """None for any other text."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)):
+            return None
+        if not text.isascii() and any(map(text.__contains__, _ODD_BEYOND)):
+            return None
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = "\n" + words[0]
+        if len(self.memo) > _chunks.LOOKUP_ENTRIES:
+            self.memo = self.memo.successor()
+        return b"".join(map(self.memo.__getitem__, words))[len(self.memo.newline) :]
+
+
 def _library(model: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -172,6 +257,23 @@ def _library(model: str):
     return Tokenizer.from_str(model)
 
 
+class State:
+    """What a worker keeps from task to task: the library and the memos."""
+
+    now: State | None = None
+
+    def __init__(self, model: str, kind: str):
+        self.of = (model, kind)
+        self.lib = _library(model)
+        self.memo, self.lines = _chunks.Lookup(encoder(self.lib, kind)), Lines(self.lib, kind)
+
+    @classmethod
+    def get(cls, model: str, kind: str) -> State:
+        if cls.now is None or cls.now.of != (model, kind):
+            cls.now = cls(model, kind)
+        return cls.now
+
+
 def encoded(df: DataFrame, tokenizer_file: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """(doc_id, n_tokens, ids, counts) and the type of the packed ids, the end id included.
 
@@ -184,15 +286,15 @@ def encoded(df: DataFrame, tokenizer_file: str | None = None, end_id: int = END_
     model = spark.sparkContext.broadcast(text)
     kind = "<u2" if max(end_id, *_library(text).get_vocab(True).values()) < 1 << 16 else "<u4"
 
+    @_chunks.collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = _library(model.value)
+        state = State.get(model.value, kind)
+        lib, lines = state.lib, state.lines
         # The cuts are those of the plain byte-level pre-tokenizer; any other file is used text by text.
         parts = json.loads(model.value)
         by_cut = parts["normalizer"] is None and parts["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         # Strings that the library takes out of a text before it cuts it: such a text is encoded as one.
         whole = [t["content"] for t in parts["added_tokens"]]
-        memo = _chunks.Lookup(encoder(lib, kind))
-        gc.disable()  # the memo is large and free of cycles
         end, total, width = np.array([end_id], kind).tobytes(), np.zeros(0, np.int64), np.dtype(kind).itemsize
 
         def rows(ids: list, docs: pa.Array, counts: bool) -> pa.RecordBatch:
@@ -206,11 +308,12 @@ def encoded(df: DataFrame, tokenizer_file: str | None = None, end_id: int = END_
                 out = []
                 for t in texts:
                     if by_cut and not any(w in t for w in whole):
-                        out.append(b"".join(map(memo.__getitem__, _chunks.cuts(t))) + end)
+                        ids = lines(t)
+                        out.append((b"".join(map(state.memo.__getitem__, _chunks.cuts(t))) if ids is None else ids) + end)
                     else:
                         out.append(np.array(lib.encode(t, add_special_tokens=False).ids, kind).tobytes() + end)
-                if memo.full():
-                    memo = memo.successor()
+                if state.memo.full():
+                    state.memo = state.memo.successor()
                 got = np.bincount(np.frombuffer(b"".join(out), kind), minlength=len(total))
                 got[: len(total)] += total
                 total = got
@@ -233,7 +336,8 @@ def write_files(df: DataFrame, path: str | None = None, tokenizer_file: str | No
     spark = df.sparkSession
     path = path or C.fresh_path(spark, "tokens")
     rows, kind = encoded(df, tokenizer_file, end_id, id_col, text_col)
-    rows = C.written(rows, "ids")
+    between = C.fresh_path(spark, "ids")
+    rows = C.written(rows, "ids", path=between)
     counts = rows.where("counts").select("ids").mapInArrow(_counted, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
     symbols, n = counts.symbol.to_numpy(np.int64), counts.n.to_numpy(np.int64)
     lengths = code_lengths(n, limit)
@@ -266,6 +370,7 @@ def write_files(df: DataFrame, path: str | None = None, tokenizer_file: str | No
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.where("NOT counts").withColumn("tie", F.xxhash64("ids")).repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.select("doc_id", "ids").mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
+    C.delete(spark, between)
     return path
 
 
