@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,31 +15,34 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
 
 
-def cer_plain(pred: Column, gold: Column) -> Column:
+Edits = Callable[[Column, Column], Column]
+
+
+def cer_plain(pred: Column, gold: Column, edits: Edits = distance) -> Column:
     """Distance over the gold's length, unbounded above; an empty gold gives 0 for an empty prediction, else 1."""
     empty = F.when(F.length(pred) == 0, 0.0).otherwise(1.0)
-    return F.when(F.length(gold) == 0, empty).otherwise(distance(pred, gold) / F.length(gold))
+    return F.when(F.length(gold) == 0, empty).otherwise(edits(pred, gold) / F.length(gold))
 
 
-def nls_plain(pred: Column, gold: Column) -> Column:
+def nls_plain(pred: Column, gold: Column, edits: Edits = distance) -> Column:
     longest = F.greatest(F.length(pred), F.length(gold))
-    return F.when(longest == 0, 1.0).otherwise(1 - distance(pred, gold) / longest)
+    return F.when(longest == 0, 1.0).otherwise(1 - edits(pred, gold) / longest)
 
 
-def cer(pred: Column, gold: Column) -> Column:
-    return cer_plain(T.collapse(pred), T.collapse(gold))
+def cer(pred: Column, gold: Column, edits: Edits = distance) -> Column:
+    return cer_plain(T.collapse(pred), T.collapse(gold), edits)
 
 
-def nls(pred: Column, gold: Column) -> Column:
-    return nls_plain(T.collapse(pred), T.collapse(gold))
+def nls(pred: Column, gold: Column, edits: Edits = distance) -> Column:
+    return nls_plain(T.collapse(pred), T.collapse(gold), edits)
 
 
 def exact(pred: Column, gold: Column) -> Column:
     return T.collapse(pred) == T.collapse(gold)
 
 
-def cer_stripped(pred: Column, gold: Column) -> Column:
-    return cer_plain(T.strip_square(pred), T.strip_square(gold))
+def cer_stripped(pred: Column, gold: Column, edits: Edits = distance) -> Column:
+    return cer_plain(T.strip_square(pred), T.strip_square(gold), edits)
 
 
 def word_f1(pred: Column, gold: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 #: Texts with a character from here on may not be in NFC.
 _MAYBE = r"[\x{0300}-\x{10FFFF}]"
@@ -28,6 +28,42 @@ def with_nfc(df: DataFrame, column: str, to: str | None = None) -> DataFrame:
     return df.where(~maybe).withColumn(to, F.col(column)).unionByName(df.where(maybe).withColumn(to, nfc(F.col(column))))
 
 
+def levenshtein(a: str, b: str) -> int:
+    """Edit distance by code points, of texts of any length: bits of one integer are a column of the table
+    (Myers, Hyyrö). Where the shorter text is the longer one with characters left out, it is the difference
+    of their lengths."""
+    if len(a) > len(b):
+        a, b = b, a
+    rest = iter(b)
+    if all(c in rest for c in a):
+        return len(b) - len(a)
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    differ = np.flatnonzero(x != y[: len(x)])
+    first = int(differ[0]) if len(differ) else len(x)
+    x, y = x[first:], y[first:]
+    differ = np.flatnonzero(x[::-1] != y[len(y) - len(x) :][::-1])
+    same = int(differ[0]) if len(differ) else len(x)
+    x, y = x[: len(x) - same], y[: len(y) - same]
+    if not len(x):
+        return len(y)
+    where = {int(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x)}
+    every, last = (1 << len(x)) - 1, 1 << len(x) - 1
+    more, less, score = every, 0, len(x)
+    for c in y.tolist():
+        eq = where.get(c, 0)
+        across = (((eq & more) + more) ^ more) | eq
+        up, down = less | every & ~(across | more), more & across
+        score += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        more, less = down | every & ~(eq | less | up), up & (eq | less)
+    return score
+
+
+@arrow_udf(IntegerType())
+def edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array((None if x is None or y is None else levenshtein(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)), pa.int32())
+
+
 def align(a: str, b: str) -> list[tuple[str | None, str | None]]:
     """Global alignment (match 1, mismatch and gap -1; diagonal before up before left), rows by numpy.
 

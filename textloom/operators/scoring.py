@@ -15,10 +15,10 @@ HISTORIC = tuple("ѣѧѫѩѭѯѱѳѵꙋꙗѥ")
 GAP = "<gap>"
 
 
-def scored(df: DataFrame, pred: str, gold: str) -> DataFrame:
-    """``df`` with all row metrics."""
+def scored(df: DataFrame, pred: str, gold: str, edits: M.Edits = M.distance) -> DataFrame:
+    """``df`` with all row metrics; ``edits`` is the distance, by default Spark's, which is slow on long texts."""
     p, g = F.col(pred), F.col(gold)
-    return df.withColumns({"cer_raw": M.cer(p, g), "cer_stripped": M.cer_stripped(p, g), "nls": M.nls(p, g), "exact": M.exact(p, g)})
+    return df.withColumns({"cer_raw": M.cer(p, g, edits), "cer_stripped": M.cer_stripped(p, g, edits), "nls": M.nls(p, g, edits), "exact": M.exact(p, g)})
 
 
 def summary(rows: DataFrame, *by: str) -> DataFrame:

@@ -259,6 +259,15 @@ def cer_nls_by_group(t):
     return out.select("lang", "n", *(F.round(c, 9).alias(c) for c in out.columns[2:]))
 
 
+@query("cer_nls_by_group_whole")
+def cer_nls_by_group_whole(t):
+    """The same scores of whole texts, of all rows. DuckDB's distance is of bytes, so no SQL checks it."""
+    gold = F.col("text")
+    rows = t("documents").select("lang", gold.alias("gold"), F.replace(gold, F.lit("th"), F.lit("t")).alias("pred"))
+    out = scoring.summary(scoring.scored(rows, "pred", "gold", U.edits), "lang")
+    return out.select("lang", "n", *(F.round(c, 9).alias(c) for c in out.columns[2:]))
+
+
 @query(
     "eval_summary",
     """WITH r AS (SELECT c_name AS g, replace(c_name, '0', 'o') AS p, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'x' END AS i FROM customer),
