@@ -58,6 +58,24 @@ def test_cer_nls_of_whole_texts(spark, tmp_path):
         assert stripped < cer if lang == "de" else stripped == cer  # "[th]" is gone
 
 
+def test_decontamination_of_documents(spark, tmp_path):
+    rng = random.Random(8)
+    items = ["".join(rng.choices("abcd é", k=rng.randrange(3, 60))) for _ in range(12)] + ["two\nlines of one item", ""]
+    docs = [None, "", "two  lines of one item", "two lin of one item", "a\nlines of one itme\nb", "nothing near"]
+    for n in range(60):
+        x = list(rng.choice(items))
+        for _ in range(rng.randrange(9)):
+            x.insert(rng.randrange(len(x) + 1), "x")
+        docs.append("".join(x) if n % 2 else "z" * 70 + "\n" + "".join(x) + "\nlast")
+    table(spark, tmp_path, "documents", list(enumerate(docs)), "doc_id long, text string")
+    table(spark, tmp_path, "benchmark", list(enumerate(items)), "item_id long, text string")
+    units = lambda x: {y for u in [*x.split("\n"), x] if (y := " ".join(u.split()))}
+    held = set().union(*map(units, items))
+    want = [(i,) for i, x in enumerate(docs) if not any(edits(u, h) <= 4 for u in units(x or "") for h in held)]
+    assert sorted(run(spark, tmp_path, "decontam_edit_distance_whole")) == want
+    assert 10 < len(want) < 60
+
+
 def test_conditional_transform_of_whole_texts(spark, tmp_path):
     table(spark, tmp_path, "documents", DOCS, "doc_id long, text string, lang string")
     want = {(i, x if x is None or i % 3 == 0 else x.upper() if lang == "en" else x.lower()) for i, x, lang in DOCS}

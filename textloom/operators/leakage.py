@@ -38,7 +38,7 @@ def close_texts(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str, b
     A pair's lengths differ by at most the limit. The b side is cut into limit + 1 segments by its length;
     within the limit, one of them stands in the a side unchanged, shifted by at most the limit. So pairs
     meet by (length, segment number, segment), an equi-join, and are verified with the bounded distance.
-    Texts too short to cut meet by length alone.
+    Texts too short to cut meet by length alone. Only lengths that the b side has are tried.
     """
     k = limit + 1
     left = a.select(F.col(a_id).alias("__a"), F.col(a_text).alias("__x")).where("__x IS NOT NULL").withColumn("__n", F.length("__x"))
@@ -49,6 +49,7 @@ def close_texts(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str, b
     segments = segments.withColumn("__piece", F.substring("__y", first + 1, end - first))
     # All lengths within the limit, all segments, all shifts: (limit * 2 + 1)^2 * (limit + 1) probes a text.
     probes = left.where(F.col("__n") >= 1).select("*", F.explode(F.sequence(F.greatest(F.lit(k), F.col("__n") - limit), F.col("__n") + limit)).alias("__m")).where(F.col("__m") >= k)
+    probes = probes.join(F.broadcast(right.select("__m").distinct()), "__m", "left_semi")
     probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("__seg"), F.lit(0).alias("__z")).select("*", F.explode(F.sequence(F.lit(-limit), F.lit(limit))).alias("__shift"))
     at = start(F.col("__m"), F.col("__seg")) + F.col("__shift")
     size = start(F.col("__m"), F.col("__seg") + 1) - start(F.col("__m"), F.col("__seg"))

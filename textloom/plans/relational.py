@@ -77,6 +77,20 @@ def decontam_edit_distance(t):
     return leakage.decontaminated(part, part.where("p_partkey % 50 = 0"), "p_partkey", "p_name", "p_name").select("p_partkey")
 
 
+@query("decontam_edit_distance_whole")
+def decontam_edit_distance_whole(t):
+    """Documents of which neither the text nor a line comes within the limit of a benchmark text or line."""
+
+    def units(df, key):
+        each = df.select(key, F.explode(F.array_append(F.split("text", "\n"), F.col("text"))).alias("unit"))
+        return each.select(key, T.collapse(F.col("unit")).alias("unit")).where("unit <> ''")
+
+    bank = units(t("documents"), "doc_id").select(F.struct("doc_id", "unit").alias("id"), "unit")
+    held = units(t("benchmark"), "item_id").select("unit").distinct().withColumn("held", F.sha2("unit", 256))
+    near = leakage.close_texts(bank, held, "id", "held", "unit", "unit")
+    return t("documents").select("doc_id").join(near.select("id.doc_id").distinct(), "doc_id", "left_anti")
+
+
 @query("disagreement", "SELECT s_suppkey, levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE > 0.3 AS reject FROM (SELECT s_suppkey, s_name AS a, replace(s_name, '0', CASE WHEN s_suppkey % 2 = 0 THEN 'oo' ELSE '0' END) AS b FROM supplier)")
 def disagreement(t):
     b = F.replace("s_name", F.lit("0"), F.when(F.col("s_suppkey") % 2 == 0, "oo").otherwise("0"))
