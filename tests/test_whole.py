@@ -76,6 +76,23 @@ def test_decontamination_of_documents(spark, tmp_path):
     assert 10 < len(want) < 60
 
 
+def test_whole_orders(spark, tmp_path):
+    table(spark, tmp_path, "orders", [(i, ["3-LOW", "1-URGENT", "2-HIGH", None][i % 4]) for i in range(900)], "o_orderkey long, o_orderpriority string")
+    place = {"1-URGENT": 1, "2-HIGH": 2}
+    want = sorted((place.get(p, 999), i, p) for i, p in ((i, ["3-LOW", "1-URGENT", "2-HIGH", None][i % 4]) for i in range(900)))
+    assert run(spark, tmp_path, "categorical_order_whole") == [(i, p, n) for n, i, p in want]
+    table(spark, tmp_path, "part", [(i,) for i in range(1, 700)], "p_partkey long")
+    names = sorted(f"checkpoint-{i * 100}" for i in range(1, 700))
+    assert run(spark, tmp_path, "string_order_whole") == [(x, n) for n, x in enumerate(names, 1)]
+
+
+def test_sample_is_of_joined_orders(spark, tmp_path):
+    table(spark, tmp_path, "orders", [(i, i % 10) for i in range(50)], "o_orderkey long, o_custkey long")
+    table(spark, tmp_path, "customer", [(1, "c", 1)], "c_custkey long, c_name string, c_nationkey long")
+    table(spark, tmp_path, "nation", [(1, "n")], "n_nationkey long, n_name string")
+    assert len(run(spark, tmp_path, "three_way_join")) == 3
+
+
 def test_conditional_transform_of_whole_texts(spark, tmp_path):
     table(spark, tmp_path, "documents", DOCS, "doc_id long, text string, lang string")
     want = {(i, x if x is None or i % 3 == 0 else x.upper() if lang == "en" else x.lower()) for i, x, lang in DOCS}

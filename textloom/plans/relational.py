@@ -229,8 +229,8 @@ def companions(t):
 
 @query("three_way_join", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY md5(concat('1|', o_orderkey)), o_orderkey LIMIT 3)")
 def three_way_join(t):
-    some = splits.take(t("orders").select("o_orderkey", "o_custkey"), 3, "o_orderkey", 1)
-    return some.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return splits.take(joined.select("o_orderkey", "c_name", "n_name"), 3, "o_orderkey", 1)
 
 
 @query("paired_keys", "SELECT o_orderkey, o_custkey AS pred, o_totalprice AS gold FROM orders")

@@ -146,11 +146,29 @@ def categorical_order(t):
     return t("orders").select("o_orderkey", F.when(at > 0, at).otherwise(999).alias("place")).orderBy("place", "o_orderkey").limit(200)
 
 
+@query("categorical_order_whole", "SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 999 END AS place FROM orders")
+def categorical_order_whole(t):
+    """All rows in that order; unknown categories last."""
+    at = F.array_position(F.array(F.lit("1-URGENT"), F.lit("2-HIGH")), F.col("o_orderpriority")).cast("int")
+    return t("orders").select("o_orderkey", "o_orderpriority", F.when(at > 0, at).otherwise(999).alias("place")).orderBy("place", "o_orderkey")
+
+
 @query("string_order", "SELECT concat('checkpoint-', p_partkey * 100) AS name FROM part ORDER BY 1 LIMIT 100")
 def string_order(t):
     return t("part").select(F.concat(F.lit("checkpoint-"), F.col("p_partkey") * 100).alias("name")).orderBy("name").limit(100)
 
 
+@query("string_order_whole", "SELECT name, row_number() OVER (ORDER BY name) AS place FROM (SELECT concat('checkpoint-', p_partkey * 100) AS name FROM part)")
+def string_order_whole(t):
+    """All names with their places in string order, counted per range."""
+    names = t("part").select(F.concat(F.lit("checkpoint-"), F.col("p_partkey") * 100).alias("name"))
+    ranged = names.repartitionByRange(8, "name").withColumn("part", F.spark_partition_id())
+    before = F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("k")).select("part", before.alias("before"))
+    in_part = F.row_number().over(Window.partitionBy("part").orderBy("name"))
+    return ranged.withColumn("in_part", in_part).join(F.broadcast(places), "part").select("name", (F.col("before") + F.col("in_part")).alias("place")).orderBy("place")
+
+
 @query("median_gap", "SELECT l_orderkey, CAST(floor(median(g)) AS INTEGER) AS gap FROM (SELECT l_orderkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS g FROM lineitem) WHERE g IS NOT NULL GROUP BY ALL")
 def median_gap(t):
     gap = F.col("l_quantity") - F.lag("l_quantity").over(series.ordered(["l_orderkey"], ["l_quantity", "l_linenumber"]))
