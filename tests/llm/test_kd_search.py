@@ -34,6 +34,32 @@ def test_odd_rows_and_ties(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, 5)
 
 
+
+def test_wide_components(spark, monkeypatch):
+    monkeypatch.setattr(K, "LEAF", 4)
+    monkeypatch.setattr(K, "BLOCK", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 7)).tolist()) for i in range(90)]
+    rows += [(100, [1e7, 0.25, -3.0]), (101, [600000.0] * 3), (102, [-1e7, 5.0, 600000.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, K.top_k(K.index(df, shard_size=16), every=5).collect()))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    db.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(db.execute(K.ORACLES["op10_kd_search"].replace("% 50", "% 5")).fetchall())
+    assert any(x[2] in (100, 101, 102) for x in got)
+
+
+def test_products_beyond_longs():
+    """Exact where products cancel; an error only for a score that is no long."""
+    big = 1 << 62
+    vectors = np.array([[big, -big + 1, 1], [big, -big, 2], [1, 1, 1], [-big, big, 0]], np.int64)
+    tree = K.Tree.build(np.arange(4), vectors, 1)
+    (_, best), = tree.search(np.array([9]), np.array([[big, big, 3]], np.int64), [None])
+    want = sorted((-sum(a * b for a, b in zip(v, [big, big, 3])), i) for i, v in enumerate(vectors.tolist()))
+    assert best == want
+
+
 def test_few_rows_and_empty_table(spark):
     df = spark.createDataFrame([(0, [1.0]), (7, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in K.top_k(K.index(df), 50).collect()] == [(0, 1, 7, 256 * 512)]

@@ -11,8 +11,12 @@ score found there goes with it to all other shards, where only boxes and vectors
 Queries travel in blocks. Scores and bounds are whole numbers, so nothing is approximate; a box or vector
 equal to the kth score is still looked at, as ties go to the smaller id.
 
+Wide vectors, with a component beyond LARGEST, have trees and query blocks of their own, stored as longs;
+where products or their sums might not fit a long, they are of Python's integers. A score that doesn't fit
+a long is an error, as it is in the SQL.
+
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor
-do rows without an id, nor vectors with a component of 2^19 or more, whose products might not fit a long;
+do rows without an id, nor vectors with a component that isn't a long once it is whole;
 of rows with one id the least vector counts; vectors of different lengths have no product; an empty table
 gives an empty result.
 """
@@ -20,6 +24,7 @@ gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +39,10 @@ K = 5
 SCALE = 256
 #: Vectors in a shard, in a leaf, and queries in a block.
 SHARD, LEAF, BLOCK = 4_096, 128, 512
-#: Largest whole component: 2^27 squared, over 64 dimensions and more, stays in a long.
+#: Largest whole component of a vector stored as 32 bits; others are wide.
 LARGEST = 1 << 27
 
-_INDEX = "shard int, dim int, ids binary, vectors binary, low binary, high binary, nodes binary"
+_INDEX = "shard int, dim int, width int, ids binary, vectors binary, low binary, high binary, nodes binary"
 _HITS = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -46,7 +51,22 @@ def whole(vector: list | None) -> np.ndarray | None:
     if not vector or any(x is None for x in vector):
         return None
     x = np.floor(SCALE * np.array(vector, np.float64))
-    return x.astype(np.int64) if np.isfinite(x).all() and np.abs(x).max() <= LARGEST else None
+    return x.astype(np.int64) if np.isfinite(x).all() and -(2.0**63) <= x.min() and x.max() < 2.0**63 else None
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """4 bytes a component, or 8 of a wide vector."""
+    return x.astype("<i8" if _most(x) > LARGEST else "<i4").tobytes()
+
+
+def _most(x: np.ndarray) -> int:
+    return max(int(x.max()), -int(x.min())) if x.size else 0
+
+
+def _fits(score: int) -> int:
+    if not -(1 << 63) <= score < 1 << 63:
+        raise OverflowError(f"a score does not fit a long: {score}")
+    return score
 
 
 class Tree:
@@ -69,7 +89,7 @@ class Tree:
             high.append(hi)
             if parent >= 0:
                 nodes[parent][side] = here
-            widest = int((hi - lo).argmax())
+            widest = int((hi.astype(np.float64) - lo).argmax())  # wide ranges overflow longs
             if end - first > leaf and hi[widest] > lo[widest]:
                 mid = (end - first) // 2
                 by = np.argpartition(inside[:, widest], mid)
@@ -79,15 +99,15 @@ class Tree:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int = K) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """For each query, its up to k best (-score, id) of at least ``kth``, itself left out."""
-        # Products of floats are exact below 2^53.
-        exact = float(np.abs(self.vectors).max()) * float(np.abs(queries).max() if len(queries) else 0) * queries.shape[1] < 2**53
-        kind = np.float64 if exact else np.int64
+        # Products of floats are exact below 2^53, of longs below 2^63.
+        most = _most(self.vectors) * _most(queries) * queries.shape[1]
+        kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
         vectors, qs = self.vectors.astype(kind), queries.astype(kind)
         bounds = np.maximum(qs, 0) @ self.high.astype(kind).T + np.minimum(qs, 0) @ self.low.astype(kind).T
         nodes = self.nodes.tolist()
         for i, own in enumerate(query_ids.tolist()):
             best: list[tuple[int, int]] = []
-            least, bound, heap = int(kth[i]), bounds[i].tolist(), [(-bounds[i, 0], 0)]
+            least, bound, heap = -math.inf if kth[i] is None else int(kth[i]), bounds[i].tolist(), [(-bounds[i, 0], 0)]
             while heap:
                 b, node = heapq.heappop(heap)
                 if -b < least:
@@ -108,32 +128,32 @@ class Tree:
 
 
 def _tree(row: dict) -> Tree:
-    box = lambda name: np.frombuffer(row[name], "<i4").reshape(-1, row["dim"]).astype(np.int64)
+    box = lambda name: np.frombuffer(row[name], f"<i{row['width']}").reshape(-1, row["dim"]).astype(np.int64)
     return Tree(np.frombuffer(row["ids"], "<i8"), box("vectors"), box("low"), box("high"), np.frombuffer(row["nodes"], "<i8").reshape(-1, 4))
 
 
 def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD) -> DataFrame:
-    """The trees, written: one row per shard and vector length."""
+    """The trees, written: one row per shard, vector length and width."""
 
     def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, v.astype("<i4").tobytes()) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := whole(x)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([v for _, v in out], pa.binary())], names=["id", "v"])
+            out = [(i, len(v), _packed(v)) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := whole(x)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["id", "dim", "v"])
 
     def build(table: pa.Table) -> pa.Table:
-        dim = table["dim"][0].as_py()
-        vectors = np.frombuffer(b"".join(table["v"].to_pylist()), "<i4").reshape(-1, dim).astype(np.int64)
+        dim, width = (table[c][0].as_py() for c in ("dim", "width"))
+        vectors = np.frombuffer(b"".join(table["v"].to_pylist()), f"<i{width}").reshape(-1, dim).astype(np.int64)
         tree = Tree.build(table["id"].to_numpy(), vectors)
-        small = lambda x: [np.ascontiguousarray(x).astype("<i4").tobytes()]
-        columns = {"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32())}
+        small = lambda x: [np.ascontiguousarray(x).astype(f"<i{width}").tobytes()]
+        columns = {"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "width": pa.array([width], pa.int32())}
         columns |= {"ids": [tree.ids.astype("<i8").tobytes()], "vectors": small(tree.vectors), "low": small(tree.low), "high": small(tree.high), "nodes": [tree.nodes.astype("<i8").tobytes()]}
         return pa.table(columns)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    clean = C.written(rows.mapInArrow(quantised, "id bigint, v binary").groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    clean = C.written(rows.mapInArrow(quantised, "id bigint, dim int, v binary").groupBy("id").agg(F.min(F.struct("v", "dim")).alias("x")).select("id", "x.*"), "vectors")
     shards = max(1, -(-clean.count() // shard_size))
-    dealt = clean.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("dim", (F.octet_length("v") / 4).cast("int"))
-    return C.written(dealt.groupBy("shard", "dim").applyInArrow(build, _INDEX), "index")
+    dealt = clean.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("width", (F.octet_length("v") / F.col("dim")).cast("int"))
+    return C.written(dealt.groupBy("shard", "dim", "width").applyInArrow(build, _INDEX), "index")
 
 
 def top_k(trees: DataFrame, every: int, k: int = K) -> DataFrame:
@@ -145,11 +165,12 @@ def top_k(trees: DataFrame, every: int, k: int = K) -> DataFrame:
                 tree = _tree(row)
                 at = np.flatnonzero(tree.ids % every == 0)
                 out = []
-                for i, (own, best) in zip(at, tree.search(tree.ids[at], tree.vectors[at], np.full(len(at), -(1 << 62)), k), strict=True):
-                    kth = -best[-1][0] if len(best) == k else -(1 << 62)
-                    out.append((own, row["dim"], tree.vectors[i].astype("<i4").tobytes(), row["shard"], kth, [x for _, x in best], [-s for s, _ in best]))
-                types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                names = ["query_id", "dim", "v", "shard", "kth", "vec_ids", "scores"]
+                for i, (own, best) in zip(at, tree.search(tree.ids[at], tree.vectors[at], [None] * len(at), k), strict=True):
+                    scores = [_fits(-s) for s, _ in best]
+                    kth = scores[-1] if len(best) == k else None
+                    out.append((own, row["dim"], row["width"], tree.vectors[i].astype(f"<i{row['width']}").tobytes(), row["shard"], kth, [x for _, x in best], scores))
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                names = ["query_id", "dim", "width", "v", "shard", "kth", "vec_ids", "scores"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,21 +178,21 @@ def top_k(trees: DataFrame, every: int, k: int = K) -> DataFrame:
             for at in range(len(batch)):  # one tree and one block at a time
                 row = batch.slice(at, 1).to_pylist()[0]
                 queries = row["queries"]
-                vectors = np.frombuffer(b"".join(q["v"] for q in queries), "<i4").reshape(-1, row["dim"]).astype(np.int64)
-                away = np.array([q["shard"] != row["shard"] for q in queries], bool)
-                found = _tree(row).search(np.array([q["query_id"] for q in queries])[away], vectors[away], np.array([q["kth"] for q in queries])[away], k)
-                hits = [(own, i, -s) for own, best in found for s, i in best]
+                vectors = np.frombuffer(b"".join(q["v"] for q in queries), f"<i{row['query_width']}").reshape(-1, row["dim"]).astype(np.int64)
+                away = np.array([(q["shard"], row["query_width"]) != (row["shard"], row["width"]) for q in queries], bool)
+                found = _tree(row).search(np.array([q["query_id"] for q in queries])[away], vectors[away], [q["kth"] for q, a in zip(queries, away, strict=True) if a], k)
+                hits = [(own, i, _fits(-s)) for own, best in found for s, i in best]
                 yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
-    first = C.written(trees.mapInArrow(own_shard, "query_id bigint, dim int, v binary, shard int, kth bigint, vec_ids array<bigint>, scores array<bigint>"), "queries")
+    first = C.written(trees.mapInArrow(own_shard, "query_id bigint, dim int, width int, v binary, shard int, kth bigint, vec_ids array<bigint>, scores array<bigint>"), "queries")
     near = first.select("query_id", F.inline(F.arrays_zip(F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))))
     blocks = max(1, -(-first.count() // BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    packed = first.withColumn("block", block).groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v", "shard", "kth")).alias("queries"))
+    packed = first.withColumn("block", block).groupBy("dim", F.col("width").alias("query_width"), "block").agg(F.collect_list(F.struct("query_id", "v", "shard", "kth")).alias("queries"))
     # Every block meets every tree of its vectors' length; it is the smaller of the two, so it travels.
-    places = trees.select("dim", "shard")
+    places = trees.select("dim", "shard", "width")
     sent = packed.join(places, "dim").repartition(F.col("dim"), F.col("shard"), F.col("block"))
-    far = trees.join(sent, ["dim", "shard"]).mapInArrow(others, _HITS)
+    far = trees.join(sent, ["dim", "shard", "width"]).mapInArrow(others, _HITS)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.union(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
