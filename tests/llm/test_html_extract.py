@@ -12,6 +12,19 @@ def test_blocks():
     assert X.main_text(page, frozenset()) == "T\nOne&two <x> three\nfour five\nsix seven\néé&am"
 
 
+
+def test_class_names_of_what_encloses_the_content():
+    page = '<html class="{0}"><body class="{0}"><div class="{0}"><main class="{0}"><article id="{0}"><p>Text</p><div class="share">no</div></article></main></div></body></html>'
+    for name in ("has-sidebar", "no-header", "with-menu", "privacy-notice", "share"):
+        assert X.main_text(X.Page(page.format(name)), frozenset()) == "Text"
+        bare = X.Page(f'<body class="{name}"><div class="{name}"><p>Text</p><footer>no</footer></div></body>')
+        assert X.main_text(bare, frozenset()) == "Text"
+    one = X.Page(page.format("share"))
+    assert X.main_text(one, frozenset(X.tokens(one))) == "Text"
+    assert X.main_text(X.Page('<body class="has-sidebar"><article><p>Text</p></article><div class="comments"><article>no</article></div><nav><article>no</article></nav></body>'), frozenset()) == "Text"
+    assert X.main_text(X.Page('<div class="no-header"><p>Text</p></div><div class="ad"><p>no</p></div>'), frozenset()) == "Text"
+
+
 def test_pages_without_article():
     text = "<body><div><p>Welcome to our site</p></div><div><p>Story {n} goes on</p></div><footer>x</footer>"
     pages = [X.Page(text.format(n=n)) for n in range(5)]

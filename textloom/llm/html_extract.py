@@ -13,6 +13,11 @@ Where a host's template has none, a page's own article or main region serves; a
 all slots outside of such containers that are more than fixed text. Hosts of fewer than PAGES pages have
 no template.
 
+Names of classes and ids are hints. They never reject html, body, or an article or main region itself, nor
+do those that say what a page has or lacks (has-sidebar, no-header). They choose among regions, an article
+among comments being none; but where they would reject every region, or all slots, element names alone
+decide about what encloses a region, or about the slots.
+
 Text inside a block has its references decoded and white space made one space; ``<br>`` is white space.
 Blocks follow in page order, one newline between them.
 
@@ -48,6 +53,8 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dl dt dd tr td th thead
 ASIDE = frozenset("head title nav header footer aside form noscript template svg button select textarea iframe object canvas dialog script style".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices comment comments disqus promo popup modal share sharing social related subscribe newsletter widget sponsored".split())
 CONTENT = frozenset(("article", "main"))
+#: First words of class names that describe a page instead of naming a part of it.
+STATES = frozenset(("has", "no", "with", "without"))
 
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -110,9 +117,18 @@ class Page(HTMLParser):
         self.text.append(data)
 
 
+def _aside_element(label: str) -> bool:
+    return label.split(".")[0].split(":")[0] in ASIDE
+
+
 def _aside(label: str) -> bool:
+    if _aside_element(label):
+        return True
     name, *classes = label.split(".")
-    return name.split(":")[0] in ASIDE or any(part in ASIDE_WORDS for c in classes for part in re.split(r"[-_:]+", c.lower()))
+    if name in ("html", "body") or _content(label):
+        return False
+    parts = (re.split(r"[-_:]+", c.lower()) for c in classes)
+    return any(p[0] not in STATES and not ASIDE_WORDS.isdisjoint(p) for p in parts)
 
 
 def _content(label: str) -> bool:
@@ -140,15 +156,16 @@ def main_text(page: Page, template: frozenset[str]) -> str:
         if fixed and not template:
             continue
         inside = [(region(path, fixed), path, text) for path, text in page.blocks]
-        if any(n for n, _, _ in inside) or any(region(p, fixed) for p in page.containers):
-            # An article in a sidebar or among comments is no content, nor is an aside in an article.
-            return "\n".join(text for n, path, text in inside if n and not any(map(_aside, path)))
-    out = []
-    for path, text in page.blocks:
-        where = "/".join(path) + "|"
-        if not any(map(_aside, path)) and not all(where + w in template for w in text.split()):
-            out.append(text)
-    return "\n".join(out)
+        regions = [path[:n] for path in page.containers if (n := region(path, fixed))]
+        if regions:
+            # An article in a sidebar or among comments is no content, nor is an aside in an article. Where
+            # class names leave no region, only element names count around it.
+            chosen = any(not any(map(_aside, r)) for r in regions)
+            around = _aside if chosen else _aside_element
+            return "\n".join(text for n, path, text in inside if n and not any(map(around, path[:n])) and not any(map(_aside, path[n:])))
+    slots = [(path, text) for path, text in page.blocks if not all("/".join(path) + "|" + w in template for w in text.split())]
+    named = [text for path, text in slots if not any(map(_aside, path))]
+    return "\n".join(named or [text for path, text in slots if not any(map(_aside_element, path))])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
