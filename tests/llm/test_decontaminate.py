@@ -78,3 +78,11 @@ def test_query(spark, sf_dir):
     got = {tuple(r) for r in D.op6_decontaminate(spark, sf_dir).collect()}
     exact = {(d, i) for d, t in docs for i, x in items if len(D.plain(x)) >= D.LEAST and D.plain(x) in D.plain(t)}
     assert exact and exact == {(d, i) for d, i, n in got if n == 0}
+
+
+def test_short_items_match_exactly(spark):
+    docs = [(0, "Who wrote Hamlet?"), (1, "So: WHO wrote -- Hamlet, then"), (2, "who wrote hamlets"), (3, "xwho wrote hamlet"), (4, "who wrote hamlex"), (5, "问。谁写了哈姆雷特？答")]
+    items = [(1, "who wrote Hamlet?"), (2, "谁写了哈姆雷特"), (3, ""), (4, "?!")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out, name = D.find_items(df, bench)
+    assert {(r.doc_id, x.item_id, x.distance) for r in out.collect() for x in r[name]} == {(0, 1, 0), (1, 1, 0), (5, 2, 0)}

@@ -11,7 +11,9 @@ repeats ten thousand times is looked at once.
 Items are held in blocks of at most BLOCK_CHARS characters, one pass over the documents for each; that is
 what is collected and broadcast at a time, however many items there are. Nothing is shuffled.
 
-Defined results: an item of fewer than LEAST characters, null or empty, matches nothing; a null or empty
+An item of fewer than LEAST characters matches where it stands unchanged between word bounds.
+
+Defined results: a null or empty item matches nothing; a null or empty
 text holds nothing; of items with one id each counts; repeated rows are searched one by one; an empty
 table gives an empty result.
 """
@@ -30,7 +32,7 @@ from textloom.llm import _common as C
 
 #: Edits per character of an item.
 ERRORS = 0.06
-#: Characters an item must have.
+#: Characters an item must have to be off by edits; shorter ones match exactly.
 LEAST = 24
 #: Characters of items in one pass.
 BLOCK_CHARS = 4 << 20
@@ -76,15 +78,16 @@ class Pattern:
 class Items:
     """The pieces of a block of items in one automaton."""
 
-    def __init__(self, rows: list[tuple[int, str]], errors: float = ERRORS):
+    def __init__(self, rows: list[tuple[int, str]], errors: float = ERRORS, least: int = LEAST):
         self.items = []  # (id, pattern, budget)
         places: dict[str, list[tuple[int, int]]] = {}
         for item, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
-            budget = int(len(text) * errors)
+            short = len(text) < least
+            budget = 0 if short else int(len(text) * errors)
             for p in range(budget + 1):
                 first, end = p * len(text) // (budget + 1), (p + 1) * len(text) // (budget + 1)
                 places.setdefault(text[first:end], []).append((len(self.items), first))
-            self.items.append((item, Pattern(text), budget))
+            self.items.append((item, Pattern(text), budget, short))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -98,8 +101,10 @@ class Items:
         windows: dict[int, list[list[int]]] = {}
         for last, (size, where) in self.automaton.iter(text):
             for number, offset in where:
-                _, pattern, budget = self.items[number]
+                _, pattern, budget, short = self.items[number]
                 first = last + 1 - size - offset
+                if short and (first and text[first - 1] != " " or text[last + 1 : last + 2] not in ("", " ")):
+                    continue
                 first, end = max(0, first - budget), first + pattern.size + budget
                 own = windows.setdefault(number, [])
                 # Hits come in the order of their ends, and an item's windows nearly in the order of their starts.
@@ -109,7 +114,7 @@ class Items:
                     own.append([first, end])
         out = []
         for number, own in sorted(windows.items()):
-            item, pattern, budget = self.items[number]
+            item, pattern, budget, _ = self.items[number]
             best = min(pattern.distance(text[first:end]) for first, end in own)
             if best <= budget:
                 out.append((item, best))
@@ -125,7 +130,7 @@ def find_items(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain(t.as_py()) for t in batch.column(1)], pa.string())], names=["item_id", "item"])
 
     clean = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item")).mapInArrow(normalised, "item_id bigint, item string")
-    clean = C.written(clean.where(F.length("item") >= least), "items")
+    clean = C.written(clean.where("item <> ''"), "items")
     name = C.free_name(df.columns, "items")
     blocks = max(1, -(-(clean.agg(F.sum(F.length("item"))).first()[0] or 0) // block_chars))
     out = df.withColumn(name, F.expr(f"CAST(array() AS {FOUND})"))
@@ -136,7 +141,7 @@ def find_items(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Items(sent.value, errors)
+            block = Items(sent.value, errors, least)
             for batch in batches:
                 found = [block.find(plain(t.as_py())) for t in batch.column(batch.schema.get_field_index("__text"))]
                 old = batch.column(batch.schema.get_field_index(name)).to_pylist()
