@@ -20,15 +20,16 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates: of each group the document with the least id stays, and of its repeated rows one."""
-    groups = near_dedup.near_duplicates(docs)
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if not repeated.limit(1).count():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(again.dropDuplicates(["doc_id"]))
+    """Near-duplicates: of each group the document with the least id stays, and of its repeated rows one.
+    Different texts of one id are documents of their own."""
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    row = C.free_name(docs.columns, "row")
+    ordered = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")
+    rows = C.written(ordered.withColumn(row, F.monotonically_increasing_id()), "rows")
+    kept = near_dedup.near_duplicates(rows, id_col=row).where("kept").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

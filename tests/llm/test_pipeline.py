@@ -52,6 +52,14 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_different_texts_of_one_id(spark):
+    """An id's texts are kept or go one by one."""
+    rows = [(1, "one text here"), (1, "another thing of the same id"), (2, "one text here"), (2, "what only two has"), (2, "what only two has"), (None, "one text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in P.deduplicated(spark, docs, "").collect()), key=repr)
+    assert got == sorted({*rows} - {(2, "one text here")}, key=repr)
+
+
 def test_stages():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "decontaminate", "pii", "byte_bpe"]
 
