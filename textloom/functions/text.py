@@ -7,8 +7,13 @@ square brackets with their content, ``drop_square`` deletes only the square brac
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 #: White space as Unicode-aware string functions see it, for engines whose ``\\s`` is ASCII.
 WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
@@ -120,7 +125,19 @@ def relative_to(c: Column, root: str) -> Column:
 
 
 def url_join(base: str, c: Column) -> Column:
-    """Absolute addresses pass; a leading slash replaces the path, anything else its last part."""
+    """Absolute addresses pass; a leading slash replaces the path, anything else its last part. What begins
+    with two slashes, a question mark or a number sign, or holds a part of dots, is joined in Python (only
+    such values are handed over)."""
+    odd = c.rlike(r"^(?://|[?#])|(?:^|/)\.\.?(?:[/?#]|$)|^$") & ~c.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    return F.when(odd, url_joined(F.lit(base), F.when(odd, c))).otherwise(_plain_join(base, c))
+
+
+@arrow_udf(StringType())
+def url_joined(base: pa.Array, part: pa.Array) -> pa.Array:
+    return pa.array((None if b is None or p is None else urljoin(b, p) for b, p in zip(base.to_pylist(), part.to_pylist(), strict=True)), pa.string())
+
+
+def _plain_join(base: str, c: Column) -> Column:
     root = F.lit(base).substr(1, base.find("/", base.find("//") + 2) if "/" in base[base.find("//") + 2 :] else len(base))
     folder = F.lit(base[: base.rfind("/") + 1])
     return F.when(c.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), c).when(F.startswith(c, F.lit("/")), F.concat(root, c)).otherwise(F.concat(folder, c))
@@ -132,10 +149,12 @@ def id_from_url(c: Column, pattern: str) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), c)
 
 
-def xml_lines_joined(c: Column, tag: str = "Line") -> Column:
-    """Elements without inner tags, joined without a separator; without any, the text without tags."""
-    found = F.regexp_extract_all(c, F.lit(f"<{tag}>([^<]*)</{tag}>"), F.lit(1))
-    return F.when(F.size(found) > 0, F.array_join(found, "")).otherwise(F.regexp_replace(c, "<[^>]+>", ""))
+def xml_lines_joined(c: Column, tag: str = "Line", root: str = "HistoricalDocument") -> Column:
+    """Elements without inner tags, in any case, joined without a separator; without any, the text without
+    tags. Text without the root (in its own case) stays as it is."""
+    found = F.regexp_extract_all(c, F.lit(f"(?i)<{tag}>([^<]*)</{tag}>"), F.lit(1))
+    bare = F.when(F.size(found) > 0, F.array_join(found, "")).otherwise(F.regexp_replace(c, "<[^>]+>", ""))
+    return F.when(F.contains(c, F.lit(f"<{root}")), bare).otherwise(c)
 
 
 def xml_lines(c: Column, tags: tuple[str, ...] = ("Line", "TextLine", "TextRegion"), root: str = "HistoricalDocument", head: str = "Metadata") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 
 import numpy as np
@@ -254,3 +255,44 @@ def parse_document(html: Column, **names) -> Column:
 
 def parse_folio(html: Column) -> Column:
     return _parsed(html, FOLIO_ROW, pa.struct([("lines", pa.list_(pa.string())), ("image", pa.string())]), folio_page)
+
+
+# Names under which recognisers' JSON holds text, and lists of texts.
+TEXT_NAMES = ("markdown", "text", "ocr_text", "content", "transcription", "rec_text")
+LIST_NAMES = ("rec_texts",)
+
+
+def harvested(node: object, names: frozenset[str], lists: frozenset[str], scalars: bool = False) -> list[str]:
+    """Texts under the names (whatever their case) at any depth, in order. Explicit stack: depth has no bound."""
+    out, todo = [], [(None, node)]
+    while todo:
+        name, x = todo.pop()
+        if name in names and isinstance(x, str):
+            out.append(x)
+        elif name in names and scalars and x is not None and not isinstance(x, (dict, list)):
+            out.append(json.dumps(x))
+        elif name in lists and isinstance(x, list):
+            out += [y if isinstance(y, str) else json.dumps(y) for y in x if y]
+        elif isinstance(x, dict):
+            todo += [(k.lower(), v) for k, v in reversed(x.items())]
+        elif isinstance(x, list):
+            todo += [(None, v) for v in reversed(x)]
+    return out
+
+
+def harvest(c: Column, names: tuple[str, ...] = TEXT_NAMES, lists: tuple[str, ...] = LIST_NAMES, scalars: bool = False) -> Column:
+    """array<string> of a JSON text's harvest; none for what is null or no JSON. ``scalars``: numbers and
+    booleans count as texts too."""
+    wanted, listed = frozenset(n.lower() for n in names), frozenset(n.lower() for n in lists)
+
+    @arrow_udf(ArrayType(StringType()))
+    def run(text: pa.Array) -> pa.Array:
+        out = []
+        for t in text.to_pylist():
+            try:
+                out.append(harvested(json.loads(t), wanted, listed, scalars) if t else [])
+            except ValueError:
+                out.append([])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(c)

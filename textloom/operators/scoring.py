@@ -11,7 +11,7 @@ from textloom.functions import text as T
 from textloom.functions.udf import aligned_pairs
 
 # Historic letters that confusion tables always show.
-HISTORIC = tuple("ѣѧѫѩѭѯѱѳѵꙋꙗѥ")
+HISTORIC = tuple("ѣѧѫѳѵѡѥѩѭѯѱ҂")
 GAP = "<gap>"
 
 

@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from textloom.functions.text import shuffle_key
 
 
+#: Digits of the seeded order (hexadecimal) that number a stratum's cells: 4096 of them.
+CELL_DIGITS = 3
+
+
 @dataclass(frozen=True)
 class Ratios:
     train: float = 0.7
@@ -31,12 +35,27 @@ def sizes(n: Column, ratios: Ratios = Ratios()) -> tuple[Column, Column]:
 
 
 def stratified(df: DataFrame, key: str, strata: list[str], seed: object = 1337, ratios: Ratios = Ratios()) -> DataFrame:
-    """``df`` with the column ``split``: within each stratum, in seeded order, train, then val, then test."""
-    order = Window.partitionBy(*strata).orderBy(shuffle_key(seed, F.col(key)), key)
-    ranked = df.withColumn("__rank", F.row_number().over(order)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*strata)))
-    train, val = sizes(F.col("__n"), ratios)
-    rank = F.col("__rank")
-    return ranked.withColumn("split", F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test")).drop("__rank", "__n")
+    """``df`` with the column ``split``: within each stratum the distinct keys, in seeded order, are train,
+    then val, then test. All rows of a key are in one split; a key in several strata counts in the least.
+
+    A stratum may hold a third of all rows, so no window spans one. Keys fall into cells by the first digits
+    of their seeded order; cells are counted and summed up in order, and a key's rank is its
+    cell's first rank plus its place in the cell.
+    """
+    names = [f"__s{i}" for i in range(len(strata))]
+    one = df.groupBy(key).agg(F.min(F.struct(*(F.col(s).alias(n) for s, n in zip(strata, names, strict=True)))).alias("__s"))
+    keys = one.select(F.col(key).alias("__key"), "__s.*").withColumn("__order", shuffle_key(seed, F.col("__key")))
+    keys = keys.withColumn("__cell", F.substring("__order", 1, CELL_DIGITS))
+    counts = keys.groupBy(*names, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*names).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(*names))).drop("__n")
+    same = [F.col(f"k.{n}").eqNullSafe(F.col(f"f.{n}")) for n in [*names, "__cell"]]
+    placed = keys.alias("k").join(firsts.alias("f"), same).select("k.*", "f.__first", "f.__all")
+    rank = F.col("__first") + F.row_number().over(Window.partitionBy(*names, "__cell").orderBy("__order", "__key"))
+    train, val = sizes(F.col("__all"), ratios)
+    split = F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test")
+    splits = placed.select("__key", split.alias("split"))
+    return df.join(splits, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def fingerprint(df: DataFrame, key: str, *by: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions import udf as U
 from textloom.plans._registry import query
 
 
@@ -14,8 +15,25 @@ from textloom.plans._registry import query
 )
 def json_harvest(t):
     """All values under a key name, at any depth."""
-    found = F.regexp_extract_all(F.coalesce("props", F.lit("")), F.lit('"k" *: *"?([^",}]*)'), F.lit(1))
-    return t("events").select("event_id", F.array_join(found, " ").alias("texts"))
+    return t("events").select("event_id", F.array_join(U.harvest(F.col("props"), ("k",), (), scalars=True), " ").alias("texts"))
+
+
+def _nested(quoted: str) -> str:
+    """SQL of both engines: nested JSON around a quoted JSON string."""
+    return f"""concat('{{"page": {{"Text": ', {quoted}, ', "rec_texts": [', {quoted}, ', "", "b,c"], "n": 1}}, "parts": [{{"content": {{"rec_text": "inner"}}}}, {{"ocr_text": 5}}], "text": "last"}}')"""
+
+
+@query(
+    "json_harvest_nested",
+    f"""WITH d AS (SELECT p_partkey, {_nested("to_json(concat(p_name, ' \"x\", ', p_brand))")} AS doc FROM part)
+  SELECT p_partkey, string_agg(t.atom ->> '$', ' | ' ORDER BY t.id) AS texts FROM d, json_tree(d.doc) AS t
+  WHERE t.type = 'VARCHAR' AND (lower(t.key) IN ('markdown', 'text', 'ocr_text', 'content', 'transcription', 'rec_text') OR t.path LIKE '%.rec_texts') AND t.atom ->> '$' <> '' GROUP BY p_partkey""",
+)
+def json_harvest_nested(t):
+    """Texts of nested documents: quotes and commas inside values, lists, objects under a text's name."""
+    row = t("part").select("p_partkey", F.expr("concat(p_name, ' \"x\", ', p_brand)").alias("v"))
+    doc = row.select("p_partkey", F.regexp_replace(F.to_json(F.struct("v")), r'^\{"v":|\}$', "").alias("q")).select("p_partkey", F.expr(_nested("q")).alias("doc"))
+    return doc.select("p_partkey", F.array_join(U.harvest(F.col("doc")), " | ").alias("texts"))
 
 
 @query("restructured_rows", "SELECT doc_id, text AS transcription, 'corpus' AS source, 'train' AS split, source AS origin FROM documents")
@@ -23,13 +41,6 @@ def restructured_rows(t):
     return t("documents").select("doc_id", F.col("text").alias("transcription"), F.lit("corpus").alias("source"), F.lit("train").alias("split"), F.col("source").alias("origin"))
 
 
-@query("conditional_transform", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN lang = 'en' THEN upper(left(text, 50)) ELSE lower(left(text, 50)) END AS out FROM documents")
-def conditional_transform(t):
-    """A null seed is the identity; otherwise the chain depends on the source."""
-    seed, some = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")), F.left("text", F.lit(50))
-    return t("documents").select("doc_id", F.when(seed.isNull(), F.col("text")).when(F.col("lang") == "en", F.upper(some)).otherwise(F.lower(some)).alias("out"))
-
-
 @query("conditional_transform_whole")
 def conditional_transform_whole(t):
     """The same over whole texts. Engines differ in the case of some letters (ß), so no SQL checks it."""

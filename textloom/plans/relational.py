@@ -67,16 +67,6 @@ def close_names(t):
     return leakage.close_texts(a, b, "c_custkey", "s_suppkey", "a", "b", 2)
 
 
-@query(
-    "decontam_edit_distance",
-    """WITH b AS (SELECT p_partkey, p_name FROM part), h AS (SELECT DISTINCT p_name AS y FROM part WHERE p_partkey % 50 = 0)
-  SELECT p_partkey FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE levenshtein(p_name, y) <= 4)""",
-)
-def decontam_edit_distance(t):
-    part = t("part").select("p_partkey", "p_name")
-    return leakage.decontaminated(part, part.where("p_partkey % 50 = 0"), "p_partkey", "p_name", "p_name").select("p_partkey")
-
-
 @query("decontam_edit_distance_whole")
 def decontam_edit_distance_whole(t):
     """Documents of which neither the text nor a line comes within the limit of a benchmark text or line."""

@@ -140,12 +140,6 @@ def bucket_best_median_worst(t):
     return ranked.select("s_suppkey", bucket.alias("bucket")).where("bucket IS NOT NULL")
 
 
-@query("categorical_order", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 999 END AS place FROM orders ORDER BY place, o_orderkey LIMIT 200")
-def categorical_order(t):
-    at = F.array_position(F.array(F.lit("1-URGENT"), F.lit("2-HIGH")), F.col("o_orderpriority")).cast("int")
-    return t("orders").select("o_orderkey", F.when(at > 0, at).otherwise(999).alias("place")).orderBy("place", "o_orderkey").limit(200)
-
-
 @query("categorical_order_whole", "SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 999 END AS place FROM orders")
 def categorical_order_whole(t):
     """All rows in that order; unknown categories last."""
@@ -153,11 +147,6 @@ def categorical_order_whole(t):
     return t("orders").select("o_orderkey", "o_orderpriority", F.when(at > 0, at).otherwise(999).alias("place")).orderBy("place", "o_orderkey")
 
 
-@query("string_order", "SELECT concat('checkpoint-', p_partkey * 100) AS name FROM part ORDER BY 1 LIMIT 100")
-def string_order(t):
-    return t("part").select(F.concat(F.lit("checkpoint-"), F.col("p_partkey") * 100).alias("name")).orderBy("name").limit(100)
-
-
 @query("string_order_whole", "SELECT name, row_number() OVER (ORDER BY name) AS place FROM (SELECT concat('checkpoint-', p_partkey * 100) AS name FROM part)")
 def string_order_whole(t):
     """All names with their places in string order, counted per range."""

@@ -106,7 +106,7 @@ def url_parts(t):
   FROM (SELECT page_id, html, regexp_extract_all(html, '(?is)<li\b[^>]*>(.+?)</li>', 1) AS b, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS c FROM pages)""",
 )
 def xml_lines(t):
-    return t("pages").select("page_id", T.xml_lines(F.col("html"), ("li",), "html", "metadata").alias("text"), T.xml_lines_joined(F.col("html"), "h1").alias("joined"))
+    return t("pages").select("page_id", T.xml_lines(F.col("html"), ("li",), "html", "metadata").alias("text"), T.xml_lines_joined(F.col("html"), "h1", "html").alias("joined"))
 
 
 @query("page_links", """SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1))), ' | ') AS links FROM pages""")
@@ -243,22 +243,6 @@ def props_json(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query(
-    "cer_nls_by_group",
-    """WITH r AS (SELECT lang, left(text, 300) AS g, replace(left(text, 300), 'th', 't') AS p FROM documents WHERE strlen(text) = length(text)),
-  n AS (SELECT lang, trim(regexp_replace(g, '[\\s\\x0B\\x1C-\\x1F]+', ' ', 'g')) AS g, trim(regexp_replace(p, '[\\s\\x0B\\x1C-\\x1F]+', ' ', 'g')) AS p FROM r),
-  m AS (SELECT lang, CASE WHEN length(g) = 0 THEN CASE WHEN length(p) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE levenshtein(p, g) / length(g)::DOUBLE END AS cer, CASE WHEN greatest(length(g), length(p)) = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(p, g) / greatest(length(g), length(p))::DOUBLE END AS nls, p = g AS exact FROM n)
-  SELECT lang, count(*) AS n, round(avg(cer), 9) AS mean_cer_raw, round(avg(cer), 9) AS mean_cer_stripped, round(avg(nls), 9) AS mean_nls, round(avg(exact::INTEGER), 9) AS exact_rate FROM m GROUP BY lang""".replace("\\\\", "\\"),
-)
-def cer_nls_by_group(t):
-    """Scores of a perturbed opening: a metric of bounded length, on ASCII rows, where both engines agree."""
-    ascii_only = t("documents").where(F.octet_length("text") == F.length("text"))
-    gold = F.left(F.col("text"), F.lit(300))
-    rows = ascii_only.select("lang", gold.alias("gold"), F.replace(gold, F.lit("th"), F.lit("t")).alias("pred"))
-    out = scoring.summary(scoring.scored(rows, "pred", "gold"), "lang")
-    return out.select("lang", "n", *(F.round(c, 9).alias(c) for c in out.columns[2:]))
-
-
 @query("cer_nls_by_group_whole")
 def cer_nls_by_group_whole(t):
     """The same scores of whole texts, of all rows. DuckDB's distance is of bytes, so no SQL checks it."""
