@@ -16,9 +16,14 @@ where products or their sums might not fit a long, they are of Python's integers
 a long is an error, as it is in the SQL.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor
-do rows without an id, nor vectors with a component that isn't a long once it is whole;
-of rows with one id the least vector counts; vectors of different lengths have no product; an empty table
-gives an empty result.
+do rows without an id, nor vectors with a component that isn't a long once it is whole (its score with
+anything but 0 would be none either); vectors of different lengths have no product; ties go to the smaller
+id; an empty table gives an empty result; other columns, whatever their names, are not read; vectors of any
+length are handled, a leaf at a time.
+
+Rows that share an id: ``index(repeated="every")``, as the query has it, makes each a candidate of its own
+for every row but itself, and each whose id is asked for a query of its own. The default, "least", keeps
+the bytewise least vector of an id.
 """
 
 from __future__ import annotations
@@ -42,8 +47,8 @@ SHARD, LEAF, BLOCK = 4_096, 128, 512
 #: Largest whole component of a vector stored as 32 bits; others are wide.
 LARGEST = 1 << 27
 
-_INDEX = "shard int, dim int, width int, ids binary, vectors binary, low binary, high binary, nodes binary"
-_HITS = "query_id bigint, vec_id bigint, score bigint"
+_INDEX = "shard int, dim int, width int, ids binary, rows binary, vectors binary, low binary, high binary, nodes binary"
+_HITS = "row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def whole(vector: list | None) -> np.ndarray | None:
@@ -70,13 +75,14 @@ def _fits(score: int) -> int:
 
 
 class Tree:
-    """Arrays of a KD-tree: ids and vectors in leaf order; per node its box, and (first, end, left, right)."""
+    """Arrays of a KD-tree: ids, rows and vectors in leaf order; per node its box, and (first, end, left,
+    right). A row is a vector's own number; ids may repeat."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, nodes: np.ndarray):
-        self.ids, self.vectors, self.low, self.high, self.nodes = ids, vectors, low, high, nodes
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, nodes: np.ndarray, rows: np.ndarray):
+        self.ids, self.vectors, self.low, self.high, self.nodes, self.rows = ids, vectors, low, high, nodes, rows
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> Tree:
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, rows: np.ndarray | None = None) -> Tree:
         order, low, high, nodes = np.arange(len(ids)), [], [], []
         todo = [(0, len(ids), -1, 0)]
         while todo:
@@ -95,18 +101,18 @@ class Tree:
                 by = np.argpartition(inside[:, widest], mid)
                 order[first:end] = order[first:end][by]
                 todo += [(first, first + mid, here, 2), (first + mid, end, here, 3)]
-        return cls(ids[order], vectors[order], np.array(low), np.array(high), np.array(nodes, np.int64))
+        return cls(ids[order], vectors[order], np.array(low), np.array(high), np.array(nodes, np.int64), (ids if rows is None else rows)[order])
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int = K) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """For each query, its up to k best (-score, id) of at least ``kth``, itself left out."""
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, kth: list[int | None], k: int = K) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """For each query, its up to k best (-score, id) of at least ``kth``, its own row left out."""
         # Products of floats are exact below 2^53, of longs below 2^63.
         most = _most(self.vectors) * _most(queries) * queries.shape[1]
         kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
         vectors, qs = self.vectors.astype(kind), queries.astype(kind)
         bounds = np.maximum(qs, 0) @ self.high.astype(kind).T + np.minimum(qs, 0) @ self.low.astype(kind).T
         nodes = self.nodes.tolist()
-        for i, own in enumerate(query_ids.tolist()):
-            best: list[tuple[int, int]] = []
+        for i, own in enumerate(query_rows.tolist()):
+            best: list[tuple[int, int, int]] = []
             least, bound, heap = -math.inf if kth[i] is None else int(kth[i]), bounds[i].tolist(), [(-bounds[i, 0], 0)]
             while heap:
                 b, node = heapq.heappop(heap)
@@ -120,20 +126,21 @@ class Tree:
                     continue
                 scores = vectors[first:end] @ qs[i]
                 for j in np.flatnonzero(scores >= least):
-                    best.append((-int(scores[j]), int(self.ids[first + j])))
-                best = sorted(x for x in best if x[1] != own)[:k]
+                    best.append((-int(scores[j]), int(self.ids[first + j]), int(self.rows[first + j])))
+                best = sorted(x for x in best if x[2] != own)[:k]
                 if len(best) == k:
                     least = max(least, -best[-1][0])
-            yield own, best
+            yield own, [x[:2] for x in best]
 
 
 def _tree(row: dict) -> Tree:
     box = lambda name: np.frombuffer(row[name], f"<i{row['width']}").reshape(-1, row["dim"]).astype(np.int64)
-    return Tree(np.frombuffer(row["ids"], "<i8"), box("vectors"), box("low"), box("high"), np.frombuffer(row["nodes"], "<i8").reshape(-1, 4))
+    return Tree(np.frombuffer(row["ids"], "<i8"), box("vectors"), box("low"), box("high"), np.frombuffer(row["nodes"], "<i8").reshape(-1, 4), np.frombuffer(row["rows"], "<i8"))
 
 
-def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD) -> DataFrame:
-    """The trees, written: one row per shard, vector length and width."""
+def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD, repeated: str = "least") -> DataFrame:
+    """The trees, written: one row per shard, vector length and width. ``repeated``: of rows with one id,
+    the "least" vector counts, or "every" row."""
 
     def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,16 +150,21 @@ def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     def build(table: pa.Table) -> pa.Table:
         dim, width = (table[c][0].as_py() for c in ("dim", "width"))
         vectors = np.frombuffer(b"".join(table["v"].to_pylist()), f"<i{width}").reshape(-1, dim).astype(np.int64)
-        tree = Tree.build(table["id"].to_numpy(), vectors)
+        tree = Tree.build(table["id"].to_numpy(), vectors, rows=table["row"].to_numpy())
         small = lambda x: [np.ascontiguousarray(x).astype(f"<i{width}").tobytes()]
         columns = {"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "width": pa.array([width], pa.int32())}
-        columns |= {"ids": [tree.ids.astype("<i8").tobytes()], "vectors": small(tree.vectors), "low": small(tree.low), "high": small(tree.high), "nodes": [tree.nodes.astype("<i8").tobytes()]}
+        columns |= {"ids": [tree.ids.astype("<i8").tobytes()], "rows": [tree.rows.astype("<i8").tobytes()], "vectors": small(tree.vectors), "low": small(tree.low), "high": small(tree.high), "nodes": [tree.nodes.astype("<i8").tobytes()]}
         return pa.table(columns)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    clean = C.written(rows.mapInArrow(quantised, "id bigint, dim int, v binary").groupBy("id").agg(F.min(F.struct("v", "dim")).alias("x")).select("id", "x.*"), "vectors")
+    found = rows.mapInArrow(quantised, "id bigint, dim int, v binary")
+    if repeated == "every":  # numbers that are written once stay the same when a task runs again
+        clean = found.select("*", F.monotonically_increasing_id().alias("row"))
+    else:
+        clean = found.groupBy("id").agg(F.min(F.struct("v", "dim")).alias("x")).select("id", "x.*", F.col("id").alias("row"))
+    clean = C.written(clean, "vectors")
     shards = max(1, -(-clean.count() // shard_size))
-    dealt = clean.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("width", (F.octet_length("v") / F.col("dim")).cast("int"))
+    dealt = clean.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("width", (F.octet_length("v") / F.col("dim")).cast("int"))
     return C.written(dealt.groupBy("shard", "dim", "width").applyInArrow(build, _INDEX), "index")
 
 
@@ -165,12 +177,12 @@ def top_k(trees: DataFrame, every: int, k: int = K) -> DataFrame:
                 tree = _tree(row)
                 at = np.flatnonzero(tree.ids % every == 0)
                 out = []
-                for i, (own, best) in zip(at, tree.search(tree.ids[at], tree.vectors[at], [None] * len(at), k), strict=True):
+                for i, (own, best) in zip(at, tree.search(tree.rows[at], tree.vectors[at], [None] * len(at), k), strict=True):
                     scores = [_fits(-s) for s, _ in best]
                     kth = scores[-1] if len(best) == k else None
-                    out.append((own, row["dim"], row["width"], tree.vectors[i].astype(f"<i{row['width']}").tobytes(), row["shard"], kth, [x for _, x in best], scores))
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                names = ["query_id", "dim", "width", "v", "shard", "kth", "vec_ids", "scores"]
+                    out.append((own, int(tree.ids[i]), row["dim"], row["width"], tree.vectors[i].astype(f"<i{row['width']}").tobytes(), row["shard"], kth, [x for _, x in best], scores))
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                names = ["row", "query_id", "dim", "width", "v", "shard", "kth", "vec_ids", "scores"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,25 +192,26 @@ def top_k(trees: DataFrame, every: int, k: int = K) -> DataFrame:
                 queries = row["queries"]
                 vectors = np.frombuffer(b"".join(q["v"] for q in queries), f"<i{row['query_width']}").reshape(-1, row["dim"]).astype(np.int64)
                 away = np.array([(q["shard"], row["query_width"]) != (row["shard"], row["width"]) for q in queries], bool)
-                found = _tree(row).search(np.array([q["query_id"] for q in queries])[away], vectors[away], [q["kth"] for q, a in zip(queries, away, strict=True) if a], k)
-                hits = [(own, i, _fits(-s)) for own, best in found for s, i in best]
-                yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+                ids = {q["row"]: q["query_id"] for q in queries}
+                found = _tree(row).search(np.array([q["row"] for q in queries])[away], vectors[away], [q["kth"] for q, a in zip(queries, away, strict=True) if a], k)
+                hits = [(own, ids[own], i, _fits(-s)) for own, best in found for s, i in best]
+                yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in range(4)], names=["row", "query_id", "vec_id", "score"])
 
-    first = C.written(trees.mapInArrow(own_shard, "query_id bigint, dim int, width int, v binary, shard int, kth bigint, vec_ids array<bigint>, scores array<bigint>"), "queries")
-    near = first.select("query_id", F.inline(F.arrays_zip(F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))))
+    first = C.written(trees.mapInArrow(own_shard, "row bigint, query_id bigint, dim int, width int, v binary, shard int, kth bigint, vec_ids array<bigint>, scores array<bigint>"), "queries")
+    near = first.select("row", "query_id", F.inline(F.arrays_zip(F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))))
     blocks = max(1, -(-first.count() // BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    packed = first.withColumn("block", block).groupBy("dim", F.col("width").alias("query_width"), "block").agg(F.collect_list(F.struct("query_id", "v", "shard", "kth")).alias("queries"))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    packed = first.withColumn("block", block).groupBy("dim", F.col("width").alias("query_width"), "block").agg(F.collect_list(F.struct("row", "query_id", "v", "shard", "kth")).alias("queries"))
     # Every block meets every tree of its vectors' length; it is the smaller of the two, so it travels.
     places = trees.select("dim", "shard", "width")
     sent = packed.join(places, "dim").repartition(F.col("dim"), F.col("shard"), F.col("block"))
     far = trees.join(sent, ["dim", "shard", "width"]).mapInArrow(others, _HITS)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return near.union(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(index(C.table(spark, sf_dir, "embeddings")), every=50)
+    return top_k(index(C.table(spark, sf_dir, "embeddings"), repeated="every"), every=50)
 
 
 QUERIES = {"op10_kd_search": op10_kd_search}
