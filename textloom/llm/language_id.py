@@ -15,7 +15,11 @@ name. The score is the winner's share of all corrected counts.
 N-grams of 2 to 4 characters are taken within lower-cased words (runs of letters), with their ends marked.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing was
-learned; a text whose n-grams are all unknown gets the most common language with score 0.
+learned; a text whose n-grams are all unknown gets the most common language with score 0. Repeated rows
+count each when learning and are decided alike; a row without an id is decided like any other, and is drawn
+for the sample with all rows without one; an empty table gives filters of no language and an empty result;
+the new columns get underscores in front where the names are taken, whatever columns there are. Texts are
+decided whole, GROUP_CHARS or one text at a time. There may be any number of languages.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ SIZES = (2, 3, 4)
 RATE, SHARE = 0.01, 0.3
 #: Slots of the filter (a power of two) and positions per n-gram.
 SLOT_BITS, HASHES = 20, 3
+#: Languages in one word of a mask.
+WORD = 64
 UNKNOWN = "und"
 #: Characters handled at a time.
 GROUP_CHARS = 1 << 18
@@ -69,30 +75,34 @@ def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Filters:
-    """Bit-sliced Bloom filters of up to 64 languages, and their decision."""
+    """Bit-sliced Bloom filters of any number of languages, and their decision.
+
+    A slot's mask is one word of the least width that holds all languages, or several words of WORD bits,
+    kept in planes: plane p has the languages from p * WORD on.
+    """
 
     def __init__(self, languages: list[str]):
-        if len(languages) > 64:
-            raise ValueError("a mask holds 64 languages")
         self.languages = languages
-        self.kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.dtype(k).itemsize * 8)
-        self.slots = np.zeros(1 << SLOT_BITS, self.kind)
+        first = min(len(languages), WORD)
+        self.kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if first <= np.dtype(k).itemsize * 8)
+        self.planes = [np.zeros(1 << SLOT_BITS, self.kind) for _ in range(max(1, -(-len(languages) // WORD)))]
         self.wrong = np.zeros(len(languages))
 
     def places(self, hashes: np.ndarray) -> list[np.ndarray]:
         return [(hashes >> np.uint64(i * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1) for i in range(HASHES)]
 
     def add(self, hashes: np.ndarray, language: int) -> None:
+        slots, at = self.planes[language // WORD], self.kind(language % WORD)
         for place in self.places(hashes):
-            self.slots[place] |= self.kind(1 << language)  # duplicates in place do no harm: OR is idempotent
-        bit = (self.slots >> self.kind(language)) & self.kind(1)
-        self.wrong[language] = (bit.sum() / len(self.slots)) ** HASHES
+            slots[place] |= self.kind(1) << at  # duplicates in place do no harm: OR is idempotent
+        bit = (slots >> at) & self.kind(1)
+        self.wrong[language] = (int(bit.sum()) / len(slots)) ** HASHES
 
-    def containing(self, hashes: np.ndarray) -> np.ndarray:
-        """Masks of the languages that contain each n-gram."""
+    def containing(self, hashes: np.ndarray, plane: int = 0) -> np.ndarray:
+        """Masks of the plane's languages that contain each n-gram."""
         out = np.full(len(hashes), np.iinfo(self.kind).max, self.kind)
         for place in self.places(hashes):
-            out &= self.slots[place]
+            out &= self.planes[plane][place]
         return out
 
     def corrected(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +113,11 @@ class Filters:
         for at, hashes in grams("\n".join(lower)):
             text = np.searchsorted(starts, at, "right") - 1  # an end mark before a text counts as its own
             text = np.minimum(text, len(texts) - 1)
-            masks = self.containing(hashes)
             total += np.bincount(text, minlength=len(texts))
-            for i in range(len(self.languages)):
-                hits[:, i] += np.bincount(text, (masks >> self.kind(i)) & self.kind(1), len(texts))
+            for p in range(len(self.planes)):
+                masks = self.containing(hashes, p)
+                for i in range(p * WORD, min(len(self.languages), (p + 1) * WORD)):
+                    hits[:, i] += np.bincount(text, (masks >> self.kind(i - p * WORD)) & self.kind(1), len(texts))
         return np.maximum(0, (hits - self.wrong * total[:, None]) / (1 - self.wrong)), total > 0
 
     def decide(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -170,7 +181,7 @@ def predict(df: DataFrame, filters: Filters, text_col: str = "text") -> tuple[Da
             scores: list[float] = []
             held: list[str] = []
             size = 0
-            for text in batch.column(batch.schema.get_field_index("__text")):
+            for text in batch.column(len(batch.schema) - 1):
                 held.append(text.as_py() or "")
                 size += len(held[-1])
                 if size >= GROUP_CHARS:
@@ -180,11 +191,11 @@ def predict(df: DataFrame, filters: Filters, text_col: str = "text") -> tuple[Da
             if held:
                 for out, got in zip((names, scores), sent.value.decide(held), strict=True):
                     out.extend(got)
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
+            kept = list(zip(batch.schema.names, batch.columns, strict=True))[:-1]
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(n for n, _ in kept), lang, score])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{lang}` string", f"`{score}` double"])
-    return df.withColumn("__text", F.col(text_col)).mapInArrow(run, schema), lang, score
+    return df.withColumn(C.free_name([*df.columns, lang, score], "text_"), F.col(text_col)).mapInArrow(run, schema), lang, score
 
 
 def remainder(id_col: str, by: int) -> Column:
