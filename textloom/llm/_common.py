@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and runs in one process (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which the driver and all executors share."""
     conf = spark.sparkContext.getConf()
     if not (folder := conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = LOCAL_CHECKPOINTS
     return folder.rstrip("/")
 
@@ -43,6 +46,43 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Tables that an operator writes on its way, and deletes when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str, packed: bool = False) -> DataFrame:
+        self.paths.append(fresh_path(self.spark, label))
+        return written(df, label, packed, self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+
+#: Keys that may be called hot at once. A key is hot if it has more than 1 / HOT_KEYS of the rows, so there
+#: are fewer than that: a bound on what ``even_join`` broadcasts (two numbers each).
+HOT_KEYS = 10_000
+#: Rows that a key may have in any case.
+FEW_ROWS = 256
+
+
+def even_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, whose ``key`` is unique, so that no key's rows make a task large.
+
+    Rows of a hot key are dealt by a hash of their column ``by``, and the one row of ``right`` is copied as
+    often. Which keys are hot is counted over all of ``left`` (a written table: it is read twice)."""
+    most = max(FEW_ROWS, left.count() // HOT_KEYS)
+    salt, copies = (free_name([*left.columns, *right.columns], n) for n in ("salt", "copies"))
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNotNull() & (F.col("n") > most))
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("n") / most).cast("int").alias(copies)))
+    dealt = left.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(by), copies).cast("int"), F.lit(0))).drop(copies)
+    spread = right.join(hot, key, "left").withColumn(salt, F.explode(F.expr(f"sequence(0, coalesce({copies}, 1) - 1)"))).drop(copies)
+    return dealt.join(spread, [key, salt], how).drop(salt)
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, or with underscores before it where a column has that name (names are compared
     without regard to case, as Spark does)."""
