@@ -10,7 +10,9 @@ Tokens that the merges do not reach from their own bytes (none in the public fil
 whole, as the rank rule's users do.
 
 Defined results: a null text is an empty one; an empty text has no ids; every other column stays, and a
-new column whose name is taken gets an underscore in front.
+new column whose name is taken gets an underscore in front (no other name is in the way). Repeated rows
+and rows without an id are encoded one by one; very long texts are cut between pre-tokens and joined; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,7 +159,7 @@ def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str
             for at in range(0, len(batch), ROWS):
                 some = batch.slice(at, ROWS)
                 got: dict[str, list] = {w: [] for w in want}
-                for found in memo.values(t.as_py() or "" for t in some.column(some.schema.get_field_index("__text"))):
+                for found in memo.values(t.as_py() or "" for t in some.column(len(some.schema) - 1)):
                     if "ids" in got:
                         got["ids"].append(b"".join([x[0] for x in found]))
                     if hashed:
@@ -171,11 +173,11 @@ def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str
                         if "decoded_sha256" in got:
                             got["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
                 made = [_lists(got[w]) if w == "ids" else pa.array(got[w], KINDS[w][0]) for w in want]
-                kept = [(n, c) for n, c in zip(some.schema.names, some.columns, strict=True) if n != "__text"]
+                kept = list(zip(some.schema.names, some.columns, strict=True))[:-1]
                 yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *made], names=[*(n for n, _ in kept), *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` {KINDS[w][1]}" for n, w in fields)])
-    return df.withColumn("__text", F.col(text_col)).mapInArrow(run, schema), names
+    return df.withColumn(C.free_name([*df.columns, *names], "text_"), F.col(text_col)).mapInArrow(run, schema), names
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

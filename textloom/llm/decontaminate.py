@@ -14,8 +14,10 @@ what is collected and broadcast at a time, however many items there are. Nothing
 An item of fewer than LEAST characters matches where it stands unchanged between word bounds.
 
 Defined results: a null or empty item matches nothing; a null or empty
-text holds nothing; of items with one id each counts; repeated rows are searched one by one; an empty
-table gives an empty result.
+text holds nothing; of items with one id each counts, items of equal text each report their own id, and
+equal distances stay as they are (nothing is ranked); repeated rows are searched one by one; very long
+texts are searched whole, in time near linear; an empty table gives an empty result; columns of the input
+stay, and the new one gets an underscore in front where its name is taken.
 """
 
 from __future__ import annotations
@@ -143,13 +145,13 @@ def find_items(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = Items(sent.value, errors, least)
             for batch in batches:
-                found = [block.find(plain(t.as_py())) for t in batch.column(batch.schema.get_field_index("__text"))]
+                found = [block.find(plain(t.as_py())) for t in batch.column(len(batch.schema) - 1)]
                 old = batch.column(batch.schema.get_field_index(name)).to_pylist()
                 new = [o + [{"item_id": i, "distance": d} for i, d in f] for o, f in zip(old, found, strict=True)]
-                columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("__text", name)} | {name: pa.array(new, kind)}
+                columns = {n: c for n, c in list(zip(batch.schema.names, batch.columns, strict=True))[:-1] if n != name} | {name: pa.array(new, kind)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        out = out.withColumn("__text", F.col(text_col)).mapInArrow(run, ", ".join([*kept, f"`{name}` {FOUND}"]))
+        out = out.withColumn(C.free_name(out.columns, "text_"), F.col(text_col)).mapInArrow(run, ", ".join([*kept, f"`{name}` {FOUND}"]))
     return out, name
 
 

@@ -10,7 +10,10 @@ fitted to four fifths of the sample; the rest maps their sums to probabilities (
 A text's features are sums over its words, whatever its length; a worker keeps what it found for a word.
 
 Defined results: null and empty texts have all features 0 and get the score the model gives those; with
-no label of one class, or none at all, every text gets the share of toxic labels (0 without any).
+no label of one class, or none at all, every text gets the share of toxic labels (0 without any). An id
+with contradicting labels counts as toxic; labels or rows without an id teach nothing, but such rows are
+scored; repeated rows are scored alike; an empty table gives an empty result; columns of the input stay,
+and the score gets an underscore in front where its name is taken. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -261,12 +264,12 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(sent.value.lexicon)
         for batch in batches:
-            x = _vectors(batch.column(batch.schema.get_field_index("__text")), features)
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
+            x = _vectors(batch.column(len(batch.schema) - 1), features)
+            kept = list(zip(batch.schema.names, batch.columns, strict=True))[:-1]
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(sent.value.scores(x), pa.float64())], names=[*(n for n, _ in kept), name])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` double"])
-    return df.withColumn("__text", F.col(text_col)).mapInArrow(run, schema), name
+    return df.withColumn(C.free_name([*df.columns, name], "text_"), F.col(text_col)).mapInArrow(run, schema), name
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
