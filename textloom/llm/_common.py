@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder and runs in one process (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -69,17 +70,25 @@ HOT_KEYS = 10_000
 FEW_ROWS = 256
 
 
-def even_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def hot_keys(rows: DataFrame, key: str) -> list[tuple]:
+    """(key, copies) of the keys of ``rows`` (a written table: it is read twice) with more than their share."""
+    most = max(FEW_ROWS, rows.count() // HOT_KEYS)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNotNull() & (F.col("n") > most)).collect()
+    return [(r[key], -(-r["n"] // most)) for r in hot]
+
+
+def even_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
     """``left`` joined to ``right``, whose ``key`` is unique, so that no key's rows make a task large.
 
     Rows of a hot key are dealt by a hash of their column ``by``, and the one row of ``right`` is copied as
-    often. Which keys are hot is counted over all of ``left`` (a written table: it is read twice)."""
-    most = max(FEW_ROWS, left.count() // HOT_KEYS)
+    often. Which keys are hot is counted over all of ``left``, a written table, or was before (``hot``)."""
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
     salt, copies = (free_name([*left.columns, *right.columns], n) for n in ("salt", "copies"))
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNotNull() & (F.col("n") > most))
-    hot = F.broadcast(hot.select(key, F.ceil(F.col("n") / most).cast("int").alias(copies)))
-    dealt = left.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(by), copies).cast("int"), F.lit(0))).drop(copies)
-    spread = right.join(hot, key, "left").withColumn(salt, F.explode(F.expr(f"sequence(0, coalesce({copies}, 1) - 1)"))).drop(copies)
+    table_ = F.broadcast(left.sparkSession.createDataFrame(hot, T.StructType([left.schema[key], T.StructField(copies, T.IntegerType())])))
+    dealt = left.join(table_, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(by), copies).cast("int"), F.lit(0))).drop(copies)
+    spread = right.join(table_, key, "left").withColumn(salt, F.explode(F.expr(f"sequence(0, coalesce({copies}, 1) - 1)"))).drop(copies)
     return dealt.join(spread, [key, salt], how).drop(salt)
 
 

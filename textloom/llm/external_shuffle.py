@@ -62,7 +62,7 @@ def scattered(df: DataFrame, n_buckets: int, seed: int, bucket: str) -> tuple[Da
     """``df`` with each row's bucket, and (bucket, n)."""
     of = lambda h: F.pmod(h, F.lit(n_buckets)).cast("int")
     out = df.withColumn(bucket, of(row_hash(df, seed)))
-    counts = out.groupBy(F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = C.written(out.groupBy(F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "counts")
     most, rows = counts.agg(F.max("n"), F.sum("n")).first()
     if not rows or most <= SWOLLEN * (rows / n_buckets) + C.FEW_ROWS:
         return out, counts

@@ -3,22 +3,28 @@
 1. Sketch. A text's distinct word shingles are hashed to 64 bits. Each of BUCKETS buckets has its own
    hash of them and keeps the least value, compressed to its leading-zero count and MANTISSA bits after
    the leading one: 16 bits instead of 32 or 64.
-2. Classes. Texts with equal sets are one class from here on; what follows costs nothing per copy.
+2. Classes. Texts with equal sets (by 128 bits of them) are one class from here on, with a number of its
+   own; what follows costs nothing per copy.
 3. Banding. ROWS consecutive registers make a key. Classes that share no key are not compared: for a pair
-   at the threshold of 0.8 that happens in 2 of a million.
+   at the threshold of 0.8 that happens once in 10^9.
 4. Stars. In each group of a shared key, all are compared with one leader, the class that meets most
    others, so a group of n makes n - 1 pairs. Sizes, then the Jaccard similarity estimated from the
-   registers (corrected for chance collisions, MARGIN below the threshold) sort out most pairs; the
-   rest is confirmed on the full sets.
+   registers (corrected for chance collisions, MARGIN below the threshold, 5.6 standard deviations) sort
+   out most pairs; the rest is confirmed on the full sets.
 5. The rest of a group. Only where a group still falls into several components can another link matter.
    These groups are dealt in blocks of at most CHUNK by CHUNK members, and all pairs of different
    components in a block are compared in place; a pair is taken in the first group that it shares.
-   Only links leave a block. No pair is dropped or capped.
+   Only links leave a block. No pair is dropped or capped. Such a group of n costs n^2 / 2 estimates.
 6. Components of the links, by least labels with pointer jumping over written tables.
 
+Leaders, centres of components and large classes have many rows to join with: these joins deal a hot key's
+rows over many tasks (``even_join``). Tables written on the way are deleted when the result is written.
+
 Defined results: texts without words (null, empty, white space) have no shingles and link with nothing;
 fewer than SHINGLE words are one shingle; a row without an id gets no component and is kept; repeated
-rows are copies of each other, and each of them is returned; an empty table gives an empty result.
+rows are copies of each other, and each of them is returned; texts of one id are told apart by their sets;
+equal similarities need no order, as all links count; very long texts are whole sets; other columns are not
+read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,17 +43,17 @@ SHINGLE = 4
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Bands of ROWS registers.
-ROWS, BANDS = 6, 44
+ROWS, BANDS = 5, 53
 BUCKETS = ROWS * BANDS
 MANTISSA = 10
 #: Estimates have a standard deviation of 0.025 at the threshold.
-MARGIN = 0.115
+MARGIN = 0.14
 #: Members on either side of a block.
 CHUNK = 384
 #: Ids and keys are broadcast up to so many bytes, and joined by shuffling beyond.
 BROADCAST_BYTES = 32 << 20
 
-SKETCH = "doc_id bigint, n_shingles bigint, cls bigint, regs binary"
+SKETCH = "doc_id bigint, n_shingles bigint, set binary, regs binary"
 
 
 # --- sketches ---------------------------------------------------------------------------------------
@@ -76,6 +82,11 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def set_name(found: bytes) -> bytes:
+    """128 bits of a set: texts with equal names have equal sets (10^10 sets: a false pair in 10^18)."""
+    return xxhash.xxh3_128_digest(found)
+
+
 def least_values(found: np.ndarray) -> np.ndarray:
     """The least hash of each bucket."""
     x = (found >> np.uint64(32)).astype(np.uint32)
@@ -99,9 +110,9 @@ def sketches(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_co
                 some = batch.slice(at, 512)
                 sets = [shingles(t.as_py(), size) for t in some.column(1)]
                 regs = [compressed(least_values(s)).tobytes() if len(s) else None for s in sets]
-                cls = [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None for s in sets]
-                columns = [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(regs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cls", "regs"])
+                named = [set_name(s.tobytes()) if len(s) else None for s in sets]
+                columns = [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(named, pa.binary()), pa.array(regs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set", "regs"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
 
@@ -207,90 +218,110 @@ def _block(table: pa.Table, percent: int) -> pa.Table:
 # --- components -------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
     """(node, label) with the least node of each component, for the nodes of the edges (a, b)."""
-    both = C.written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = C.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    scratch = scratch or C.Scratch(edges.sparkSession)
+    both = scratch.written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    centres = C.hot_keys(both, "b")
+    labels = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     total = lambda: labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     now = total()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
-        less = labels.join(near, "node").select("node", F.least("label", "other").alias("label"))
+        met = C.even_join(both, labels.withColumnRenamed("node", "b"), "b", "a", hot=centres)
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
+        less = scratch.written(labels.join(near, "node").select("node", F.least("label", "other").alias("label")), "labels")
         up = less.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = C.written(less.join(up, "label").select("node", F.col("top").alias("label")), "labels")
+        labels = scratch.written(C.even_join(less, up, "label", "node").select("node", F.col("top").alias("label")), "labels")
         before, now = now, total()  # labels only ever fall
         if now == before:
             return labels
 
 
-def _small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """For a join: broadcast if its rows, counted, stay below the bound."""
+def _small(df: DataFrame, row_bytes: int = 96) -> DataFrame:
+    """For a join: broadcast if its rows, counted, stay below the bound (with what a hash table adds to them)."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id (the least doc_id that links reach), kept."""
-    docs = C.written(sketches(df, size, id_col, text_col), "sketches", packed=True)
-    classes = docs.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    scratch = C.Scratch(df.sparkSession)
+    docs = scratch.written(sketches(df, size, id_col, text_col), "sketches", packed=True)
+    sets_ = docs.where("`set` IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    classes = scratch.written(sets_.withColumn("cls", F.monotonically_increasing_id()), "classes", packed=True)
 
     band = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band", "key")
     bands = classes.select("cls", band)
-    shared = C.written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
-    members = C.written(bands.join(_small(shared, 32), "key"), "members")
-    known = C.written(classes.join(_small(members.select("cls").distinct(), 16), "cls", "left_semi"), "candidates", packed=True)
+    shared = scratch.written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
+    few = shared.count() * 96 <= BROADCAST_BYTES
+    members = scratch.written(bands.join(F.broadcast(shared), "key") if few else C.even_join(bands, shared, "key", "cls"), "members")
+    known = scratch.written(classes.join(_small(members.select("cls").distinct()), "cls", "left_semi"), "candidates", packed=True)
 
     # Leaders: the member that meets most others, in all its groups.
     ranks = members.groupBy("cls").agg(F.sum("size").alias("met"))
     ranked = members.join(ranks, "cls")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("top")).select("key", F.col("top.cls").alias("leader"))
-    stars = members.join(leaders, "key").where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    led = C.even_join(members, leaders, "key", "cls").where("cls <> leader")
+    stars = scratch.written(led.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct(), "stars")
     side = lambda s: known.select(F.col("cls").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-    maybe = C.written(_maybe(stars.join(side("a"), "a").join(side("b"), "b"), percent), "maybe")
 
-    # Full sets of the classes in question, from any of their texts: the ids are unique, or the class tells.
-    wanted = known.select("doc_id", "cls")
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(_small(wanted, 24), "doc_id")
+    def sided(pairs: DataFrame, of) -> DataFrame:
+        """Pairs with what belongs to their a and b; either may be the leader of many."""
+        hot = {s: C.hot_keys(pairs, s) for s in "ab"}
+        return C.even_join(C.even_join(pairs, of("a"), "a", "b", hot=hot["a"]), of("b"), "b", "a", hot=hot["b"])
+
+    maybe = scratch.written(_maybe(sided(stars, side), percent), "maybe")
+
+    # Full sets of the classes in question, from any of their texts: the ids are unique, or the set's name tells.
+    wanted = known.select("doc_id", "cls", "set")
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(_small(wanted, 160), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
                 sets = [shingles(t.as_py(), size).tobytes() for t in some.column(1)]
-                right = [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s)))) == c.as_py() for s, c in zip(sets, some.column(0), strict=True)]
+                right = [set_name(s) == c.as_py() for s, c in zip(sets, some.column(2), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"]).filter(pa.array(right, pa.bool_()))
 
-    sets = C.written(texts.select("cls", "text").mapInArrow(run, "cls bigint, shingles binary"), "sets", packed=True)
-    if df.select(id_col).count() != docs.select("doc_id").distinct().count():  # repeated ids
-        sets = C.written(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = scratch.written(texts.select("cls", "text", "set").mapInArrow(run, "cls bigint, shingles binary"), "sets", packed=True)
+    if sets.count() != known.count():  # repeated ids
+        sets = scratch.written(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets", packed=True)
     full = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
-    links = C.written(_confirmed(maybe.join(full("a"), "a").join(full("b"), "b"), percent), "links")
-    labels = components(links)
+    links = scratch.written(_confirmed(sided(maybe, full), percent), "links")
+    labels = components(links, scratch)
 
     # What is left: groups of several components, in blocks.
     labelled = members.where("size > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled = scratch.written(labelled, "labelled")
     split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     n_chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    open_members = labelled.join(split, "key", "left_semi").withColumn("chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("key", "cls"), "chunks").cast("int"))
+    open_members = C.even_join(labelled, split, "key", "cls").withColumn("chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("key", "cls"), "chunks").cast("int"))
     dealt = open_members.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")).select("*", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    dealt = C.written(dealt.select("key", "band", "cls", "label", "chunk", "low", "high"), "blocks")
-    whole = dealt.join(known.select("cls", "n_shingles", "regs"), "cls").join(sets, "cls")
+    dealt = scratch.written(dealt.select("key", "band", "cls", "label", "chunk", "low", "high"), "blocks")
+    many = C.hot_keys(dealt, "cls")  # a member of large groups is in many blocks
+    whole = C.even_join(C.even_join(dealt, known.select("cls", "n_shingles", "regs"), "cls", "key", hot=many), sets, "cls", "key", hot=many)
     more = whole.groupBy("key", "low", "high").applyInArrow(lambda t: _block(t, percent), "a bigint, b bigint")
-    more = C.written(more, "links")
+    more = scratch.written(more, "links")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = components(links.union(more), scratch)
 
     # Back to documents: a component's id is its least doc_id.
-    first = classes.select("cls", "doc_id")
-    of_class = first.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    least = of_class.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    place = of_class.join(least, "label", "left").select("cls", F.coalesce("least", "doc_id").alias("component"))
-    placed = docs.select("doc_id", "n_shingles", "cls").join(place, "cls", "left")
+    linked = scratch.written(labels.withColumnRenamed("node", "cls").join(classes.select("cls", "doc_id"), "cls"), "linked")
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("least"))
+    reached = C.even_join(linked, least, "label", "cls").select("cls", "least")
+    place = classes.select("cls", "set", "doc_id").join(reached, "cls", "left").select("set", F.coalesce("least", "doc_id").alias("component"))
+    rows = docs.select("doc_id", "n_shingles", "set")
+    with_words = C.even_join(rows.where("`set` IS NOT NULL"), place, "set", "doc_id", "left", hot=C.hot_keys(rows, "set"))
+    placed = with_words.select("doc_id", "n_shingles", "component").union(rows.where("`set` IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    out = placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    out = C.written(out, "components")
+    scratch.clear()
+    return out
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(C.table(spark, sf_dir, "documents"))
+    return near_duplicates(C.table(spark, sf_dir, "documents"), size=4)
 
 
 QUERIES = {"op3_near_dedup": op3_near_dedup}
