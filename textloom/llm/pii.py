@@ -229,6 +229,10 @@ Cell = tuple[str, tuple[int, ...], float] | tuple[str, tuple[int, ...], float, t
 Table = list[dict[int, tuple[float, float]]]
 
 
+#: Largest share of yes in a kind. Nearer to 1, a kind that only one labeler speaks for would believe it always.
+SURE = 0.9
+
+
 def estimated(cells: list[Cell], rounds: int = 50) -> tuple[dict[str, float], Table]:
     """EM for a latent yes/no per candidate: each kind's share of yes, and per labeler vote -> (P if yes,
     P if no), which all kinds share.
@@ -250,7 +254,7 @@ def estimated(cells: list[Cell], rounds: int = 50) -> tuple[dict[str, float], Ta
             for i, v in enumerate(votes):
                 yes[i][v] += weight * p
                 no[i][v] += weight * (1 - p)
-        shares = {kind: min(0.99, max(0.01, a / b)) for kind, (a, b) in found.items()}
+        shares = {kind: min(SURE, max(1 - SURE, a / b)) for kind, (a, b) in found.items()}
         table = [{v: (yes[i][v] / sum(yes[i].values()), no[i][v] / sum(no[i].values())) for v in (1, -1, 0)} for i in range(n)]
     return shares, table
 
