@@ -16,7 +16,9 @@ File format. A folder with two Parquet tables, whose rows are committed with the
 Decoding looks up as many bits as the longest code has in one table, for all blocks of a segment at once.
 
 Defined results: a null text is an empty one and has only the end id; a row without an id comes first;
-rows of equal id follow in the order of a hash of their ids; an empty table gives no segments.
+rows of equal id follow in the order of a hash of their ids, and of those equal rows are interchangeable; a
+very long text is one document of one segment; other columns are not read, whatever their names; an empty
+table gives no segments.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ END_ID = 2
 BLOCK = 1_024
 #: A segment is closed by the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 20
+#: Ids that a task orders and writes at most (about; a document stays whole).
+TASK_IDS = 1 << 26
 #: The index of segments is broadcast up to so many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Longest code, in bits; more only where the number of different ids asks for it. The table has 2^this rows.
@@ -367,7 +371,7 @@ def write_files(df: DataFrame, path: str | None = None, tokenizer_file: str | No
         if docs:
             yield segment()
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n.sum()) // TASK_IDS))
     ordered = rows.where("NOT counts").withColumn("tie", F.xxhash64("ids")).repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.select("doc_id", "ids").mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
     C.delete(spark, between)
