@@ -3,11 +3,12 @@
 import hashlib
 from urllib.parse import urljoin
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import udf as U
-from textloom.operators import scoring, splits
+from textloom.operators import pixels, scoring, splits
 
 
 def values(spark, column, rows):
@@ -66,3 +67,43 @@ def test_historic_letters_always_show(spark):
     df = spark.createDataFrame([(1, "".join("abcdefghij" * 9) + "ѡ҂", "x" * 92)], "i int, g string, p string")
     shown = {r.g for r in scoring.confusion(df, "p", "g", ["i"], top=3).collect()}
     assert {"ѡ", "҂"} <= shown and "j" not in shown and "ꙋ" not in scoring.HISTORIC
+
+
+def test_patches_like_one_by_one():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        strokes, inside, box = rng.random((50, 60)) < 0.3, rng.random((50, 60)) < 0.99, (10, 12, 25, 30)
+        best = None
+        for y in range(0, 50 - 12 + 1, 6):
+            for x in range(0, 60 - 14 + 1, 6):
+                far = x + 14 <= 6 or x >= 29 or y + 12 <= 8 or y >= 34
+                if far and inside[y : y + 12, x : x + 14].mean() >= 0.95:
+                    away = np.hypot(x + 7 - 17.5, y + 6 - 21) / np.hypot(50, 60)
+                    score = strokes[y : y + 12, x : x + 14].mean() + 0.18 * away
+                    if best is None or score < best[0] - 1e-12:
+                        best = (score, y, x)
+        assert pixels.clean_patch(strokes, inside, 12, 14, box) == (best and best[1:])
+
+
+def test_image_parts():
+    rng = np.random.default_rng(3)
+    values = rng.random(40)
+    assert np.allclose(pixels.smooth(values, 4), np.convolve(np.pad(values, 2, mode="edge"), np.ones(5) / 5, "valid"))
+    assert pixels.minima(np.array([3, 1, 1, 2, 0, 5])).tolist() == [1, 4]
+    image = rng.random((9, 7))
+    assert np.allclose(pixels.blurred(np.full((9, 7), 3.0), 2), 3.0) and abs(pixels.blurred(image, 1).mean() - image.mean()) < 0.1
+    assert pixels.letterboxed(np.zeros((2, 4), np.uint8), 8).tolist() == [[255] * 8] * 2 + [[0] * 8] * 4 + [[255] * 8] * 2
+    one = pixels.grained(np.full((4, 4, 3), 100, np.uint8), 5, 1)
+    assert (one == pixels.grained(np.full((4, 4, 3), 100, np.uint8), 5, 1)).all() and (one[..., 0] == one[..., 2]).all()
+
+
+def test_crops_of_image_rows(spark):
+    grey = np.full((400, 200), 255, np.uint8)
+    for y in (60, 160, 260):
+        grey[y : y + 12, 40:160] = 20
+    rows = [(1, bytearray(grey.tobytes()), 200, ["a", "b", "c"]), (2, None, 200, ["x"]), (3, bytearray(b"\xff" * 40), 4, [])]
+    df = spark.createDataFrame(rows, "page long, bytes binary, w int, texts array<string>")
+    got = pixels.line_crops(df, "page", "bytes", "w", "texts", 2).orderBy("first_line").collect()
+    assert [(r.id, r.first_line, r.last_line, r.text) for r in got] == [(1, 1, 2, "a\nb"), (1, 3, 3, "c")]
+    (left, top, right, bottom), last = got[0].box, got[1].box
+    assert left <= 40 and right >= 160 and top < 60 and 172 < bottom < 262 and last[1] > 172 and last[3] > 272
