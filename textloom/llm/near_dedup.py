@@ -249,18 +249,24 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     sets_ = docs.where("`set` IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     classes = scratch.written(sets_.withColumn("cls", F.monotonically_increasing_id()), "classes", packed=True)
 
-    band = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band", "key")
-    bands = classes.select("cls", band)
+    # A key's last six bits are its band's number.
+    keys = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})) & -64L | i)"))
+    bands = classes.select("cls", keys.alias("key"))
     shared = scratch.written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
-    few = shared.count() * 96 <= BROADCAST_BYTES
-    members = scratch.written(bands.join(F.broadcast(shared), "key") if few else C.even_join(bands, shared, "key", "cls"), "members")
+
+    def large(rows: int) -> list[tuple]:
+        """Keys with more than their share of so many rows."""
+        most = max(C.FEW_ROWS, rows // C.HOT_KEYS)
+        return [(r["key"], -(-r["size"] // most)) for r in shared.where(F.col("size") > most).collect()]
+
+    members = scratch.written(C.even_join(bands, shared, "key", "cls", hot=large(classes.count() * BANDS)), "members")
     known = scratch.written(classes.join(_small(members.select("cls").distinct()), "cls", "left_semi"), "candidates", packed=True)
 
     # Leaders: the member that meets most others, in all its groups.
     ranks = members.groupBy("cls").agg(F.sum("size").alias("met"))
     ranked = members.join(ranks, "cls")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("top")).select("key", F.col("top.cls").alias("leader"))
-    led = C.even_join(members, leaders, "key", "cls").where("cls <> leader")
+    led = C.even_join(members, leaders, "key", "cls", hot=large(members.count())).where("cls <> leader")
     stars = scratch.written(led.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct(), "stars")
     side = lambda s: known.select(F.col("cls").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
 
@@ -297,7 +303,7 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     n_chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     open_members = C.even_join(labelled, split, "key", "cls").withColumn("chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("key", "cls"), "chunks").cast("int"))
     dealt = open_members.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")).select("*", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    dealt = scratch.written(dealt.select("key", "band", "cls", "label", "chunk", "low", "high"), "blocks")
+    dealt = scratch.written(dealt.select("key", F.expr("CAST(key & 63 AS INT)").alias("band"), "cls", "label", "chunk", "low", "high"), "blocks")
     many = C.hot_keys(dealt, "cls")  # a member of large groups is in many blocks
     whole = C.even_join(C.even_join(dealt, known.select("cls", "n_shingles", "regs"), "cls", "key", hot=many), sets, "cls", "key", hot=many)
     more = whole.groupBy("key", "low", "high").applyInArrow(lambda t: _block(t, percent), "a bigint, b bigint")
