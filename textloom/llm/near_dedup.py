@@ -265,7 +265,7 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     # Leaders: the member that meets most others, in all its groups.
     ranks = members.groupBy("cls").agg(F.sum("size").alias("met"))
     ranked = members.join(ranks, "cls")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("top")).select("key", F.col("top.cls").alias("leader"))
+    leaders = scratch.written(ranked.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("top")).select("key", F.col("top.cls").alias("leader")), "leaders")
     led = C.even_join(members, leaders, "key", "cls", hot=large(members.count())).where("cls <> leader")
     stars = scratch.written(led.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct(), "stars")
     side = lambda s: known.select(F.col("cls").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
@@ -296,10 +296,13 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     links = scratch.written(_confirmed(sided(maybe, full), percent), "links")
     labels = components(links, scratch)
 
-    # What is left: groups of several components, in blocks.
-    labelled = members.where("size > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = scratch.written(labelled, "labelled")
-    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    # What is left: groups of several components, in blocks. A group's leader has met all others; groups of
+    # the same members are one, that of the least band.
+    others = C.even_join(members.where("size > 2"), leaders, "key", "cls", hot=large(members.count())).where("cls <> leader").drop("leader")
+    labelled = scratch.written(others.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    numbers = [F.sum(F.xxhash64(F.lit(i), "cls").cast("decimal(38,0)")).alias(f"sum_{i}") for i in range(2)]
+    groups = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("others"), *numbers).where("low <> high")
+    split = groups.groupBy("others", "sum_0", "sum_1").agg(F.min(F.struct((F.col("key").bitwiseAND(63)).alias("band"), "key")).alias("first")).select(F.col("first.key").alias("key"))
     n_chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     open_members = C.even_join(labelled, split, "key", "cls").withColumn("chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("key", "cls"), "chunks").cast("int"))
     dealt = open_members.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")).select("*", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
