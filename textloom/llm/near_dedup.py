@@ -161,13 +161,20 @@ def _maybe(pairs: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", F.greatest("n_a", "n_b"), "regs_a", "regs_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b, text_a, text_b) whose full sets are linked, as (a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, right = None, None
         for batch in batches:
-            keep = [linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = []
+            for b, x, y in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                if (b := b.as_py()) != before:  # the join leaves rows of one b together
+                    before, right = b, shingles(y.as_py(), size)
+                keep.append(linked(shingles(x.as_py(), size), right, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
 # --- blocks -----------------------------------------------------------------------------------------
@@ -179,7 +186,19 @@ def _band_keys(regs: np.ndarray) -> np.ndarray:
     return np.stack([np.unique(bands[:, i], return_inverse=True)[1] for i in range(BANDS)], 1).astype(np.int32)
 
 
-def block_links(cls: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, band: int, percent: int) -> list[tuple[int, int]]:
+class Sets:
+    """The sets of texts, each made when it is first asked for."""
+
+    def __init__(self, texts: pa.ChunkedArray, size: int):
+        self.texts, self.size, self.made = texts, size, {}
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if (found := self.made.get(i)) is None:
+            found = self.made[i] = shingles(self.texts[int(i)].as_py(), self.size)
+        return found
+
+
+def block_links(cls: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: Sets | list[np.ndarray], left: np.ndarray, right: np.ndarray, band: int, percent: int) -> list[tuple[int, int]]:
     """Links between members ``left`` and ``right`` (indices) of different components; pairs that share an
     earlier band are left to that one."""
     keys, out, parent = _band_keys(regs), [], {}
@@ -205,13 +224,12 @@ def block_links(cls: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndar
     return out
 
 
-def _block(table: pa.Table, percent: int) -> pa.Table:
+def _block(table: pa.Table, size: int, percent: int) -> pa.Table:
     cls, label, n, chunk = (table[c].to_numpy() for c in ("cls", "label", "n_shingles", "chunk"))
     regs = np.frombuffer(b"".join(table["regs"].to_pylist()), "<u2").reshape(-1, BUCKETS)
-    sets = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
     low, high = table["low"][0].as_py(), table["high"][0].as_py()
     left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-    links = block_links(cls, label, n, regs, sets, left, right, table["band"][0].as_py(), percent)
+    links = block_links(cls, label, n, regs, Sets(table["text"], size), left, right, table["band"][0].as_py(), percent)
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
 
@@ -277,23 +295,21 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
     maybe = scratch.written(_maybe(sided(stars, side), percent), "maybe")
 
-    # Full sets of the classes in question, from any of their texts: the ids are unique, or the set's name tells.
+    # Texts of the classes in question, for their full sets: a text is half its set's hashes, and less when
+    # compressed. The ids are unique, or the set's name tells.
     wanted = known.select("doc_id", "cls", "set")
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(_small(wanted, 160), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                sets = [shingles(t.as_py(), size).tobytes() for t in some.column(1)]
-                right = [set_name(s) == c.as_py() for s, c in zip(sets, some.column(2), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"]).filter(pa.array(right, pa.bool_()))
-
-    sets = scratch.written(texts.select("cls", "text", "set").mapInArrow(run, "cls bigint, shingles binary"), "sets", packed=True)
-    if sets.count() != known.count():  # repeated ids
-        sets = scratch.written(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets", packed=True)
-    full = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
-    links = scratch.written(_confirmed(sided(maybe, full), percent), "links")
+            right = [set_name(shingles(t.as_py(), size).tobytes()) == c.as_py() for t, c in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["cls", "text"]).filter(pa.array(right, pa.bool_()))
+
+    full = scratch.written(texts.select("cls", "text", "set").mapInArrow(run, "cls bigint, text string"), "texts")
+    if full.count() != known.count():  # repeated ids
+        full = scratch.written(full.groupBy("cls").agg(F.first("text").alias("text")), "texts")
+    text_of = lambda s: full.select(F.col("cls").alias(s), F.col("text").alias(f"text_{s}"))
+    links = scratch.written(_confirmed(sided(maybe, text_of), size, percent), "links")
     labels = components(links, scratch)
 
     # What is left: groups of several components, in blocks. A group's leader has met all others; groups of
@@ -308,8 +324,8 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     dealt = open_members.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")).select("*", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     dealt = scratch.written(dealt.select("key", F.expr("CAST(key & 63 AS INT)").alias("band"), "cls", "label", "chunk", "low", "high"), "blocks")
     many = C.hot_keys(dealt, "cls")  # a member of large groups is in many blocks
-    whole = C.even_join(C.even_join(dealt, known.select("cls", "n_shingles", "regs"), "cls", "key", hot=many), sets, "cls", "key", hot=many)
-    more = whole.groupBy("key", "low", "high").applyInArrow(lambda t: _block(t, percent), "a bigint, b bigint")
+    whole = C.even_join(C.even_join(dealt, known.select("cls", "n_shingles", "regs"), "cls", "key", hot=many), full, "cls", "key", hot=many)
+    more = whole.groupBy("key", "low", "high").applyInArrow(lambda t: _block(t, size, percent), "a bigint, b bigint")
     more = scratch.written(more, "links")
     if more.limit(1).count():
         labels = components(links.union(more), scratch)
