@@ -92,6 +92,23 @@ def even_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "
     return dealt.join(spread, [key, salt], how).drop(salt)
 
 
+#: Words of 64 bits in a sieve: a bound on what it broadcasts (two numbers each), whatever the tables.
+SIEVE_WORDS = 1 << 19
+
+
+def sieved(df: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean ``flag``: false only where ``key`` (a long) is not in ``ids``' column of that name.
+
+    Ids set bits of a table of bounded size, by their hashes. What meets no bit needs no join with ``ids``, so
+    that large rows need not be shuffled for it; where ids are so many that most bits are set, most rows do."""
+    word, bit, bits = (free_name([*df.columns, flag], n) for n in ("word", "bit", "bits"))
+    place = F.xxhash64(F.col(key).cast("long"))
+    spots = {word: F.pmod(F.shiftrightunsigned(place, 6), F.lit(SIEVE_WORDS)), bit: F.expr("shiftleft(1L, cast({p} & 63L AS INT))".format(p=f"xxhash64(cast(`{key}` AS BIGINT))"))}
+    table_ = ids.select(key).withColumns(spots).groupBy(word).agg(F.bit_or(bit).alias(bits))
+    met = df.withColumns(spots).join(F.broadcast(table_), word, "left")
+    return met.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(F.col(bit)) != 0, F.lit(False))).drop(word, bit, bits)
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, or with underscores before it where a column has that name (names are compared
     without regard to case, as Spark does)."""

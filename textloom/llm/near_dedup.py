@@ -255,9 +255,9 @@ def components(edges: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
             return labels
 
 
-def _small(df: DataFrame, row_bytes: int = 96) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
     """For a join: broadcast if its rows, counted, stay below the bound (with what a hash table adds to them)."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * 96 <= BROADCAST_BYTES else df
 
 
 def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +298,8 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     # Texts of the classes in question, for their full sets: a text is half its set's hashes, and less when
     # compressed. The ids are unique, or the set's name tells.
     wanted = known.select("doc_id", "cls", "set")
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(_small(wanted, 160), "doc_id")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = C.sieved(rows, "doc_id", wanted, "met").where("met").join(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
