@@ -37,7 +37,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Different texts of one id are documents of their own. Texts without words, and rows without an id, stay."""
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         gone = near_dedup.near_duplicates(docs, size=SHINGLE).where("NOT kept").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        met = C.free_name(docs.columns, "met")
+        marked = C.sieved(docs, "doc_id", gone, met)
+        return marked.where(~F.col(met)).unionByName(marked.where(met).join(gone, "doc_id", "left_anti").select(marked.columns)).select(docs.columns)
     row = C.free_name(docs.columns, "row")
     ordered = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")
     rows = C.written(ordered.withColumn(row, F.monotonically_increasing_id()), "rows")
