@@ -68,7 +68,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: each document's ids, and the digest of what they decode to. A null text has no ids."""
-    out, names = byte_bpe.encode_decode(docs.select("doc_id", "text"), ("ids", "n_tokens", "decoded_sha256"))
+    out, names = byte_bpe.encode_decode(docs, ("ids", "n_tokens", "decoded_sha256"), keep=("doc_id",))
     ids, n, digest = names
     return out.select("doc_id", F.col(n).alias("n_tokens"), F.col(ids).alias("ids"), F.col(digest).alias("decoded_sha256"))
 

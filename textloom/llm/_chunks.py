@@ -8,10 +8,13 @@ a lot, so each distinct one is encoded once per worker.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+
 #: The code points with the White_Space property, as a character class's content.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _CUTS = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -31,7 +34,8 @@ cuts = _CUTS.findall
 
 def collector_off(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """For batch functions with a large memo free of cycles: the collector would walk it over and over. It
-    is on again afterwards, as workers serve other functions too."""
+    is on again afterwards, as workers serve other functions too, and what the task no longer needs goes back
+    to the system: idle workers stand beside those of the next stage."""
 
     def off(batches: Iterator) -> Iterator:
         gc.disable()
@@ -39,10 +43,18 @@ def collector_off(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], I
             yield from run(batches)
         finally:
             gc.enable()
+            handed_back()
 
     return off
 
 
+def handed_back() -> None:
+    """Free memory that Arrow and the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 class Memo:
     """cut -> value; ``encode`` gets a list of new cuts and returns their values."""
 

@@ -109,6 +109,15 @@ def sieved(df: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
     return met.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(F.col(bit)) != 0, F.lit(False))).drop(word, bit, bits)
 
 
+def sent_once(df: DataFrame, text_col: str, columns: list[str], taken: list[str]) -> tuple[DataFrame, int]:
+    """``columns`` of ``df`` for a batch function that also reads ``text_col``, and the text's place in them.
+    A text that is no column of these comes last, under a name not ``taken``; one that is does not travel twice."""
+    named = [F.col("`{}`".format(c.replace("`", "``"))) for c in columns]
+    if text_col in columns:
+        return df if columns == df.columns else df.select(*named), columns.index(text_col)
+    return df.select(*named, F.col(text_col).alias(free_name([*columns, *taken], "text_"))), len(columns)
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, or with underscores before it where a column has that name (names are compared
     without regard to case, as Spark does)."""

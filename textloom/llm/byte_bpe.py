@@ -21,7 +21,7 @@ import base64
 import hashlib
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -98,6 +98,7 @@ class Codec:
 
     def __init__(self, rank_data: bytes, pattern: str = public_tokenizers.PATTERN):
         self.tokens = read_ranks(rank_data)
+        self.kind = "H" if len(self.tokens) <= 1 << 16 else "I"
         self.alphabet = byte_alphabet()
         self.space = self.alphabet[32]
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
@@ -122,68 +123,74 @@ class Codec:
         each = iter(ids)
         return [next(each) if len(ps) == 1 else [i for _ in ps for i in next(each)] for ps in parts]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as the bytes of an array of type ``kind``."""
+        return [array(self.kind, ids).tobytes() for ids in self.encode_many(texts)]
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _lists(packed: list[bytes]) -> pa.Array:
-    """Arrays of 32-bit ids from their bytes."""
-    ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+def _lists(each: list[array]) -> pa.Array:
+    """Arrow lists of 32-bit ids."""
+    ends = np.cumsum([0, *map(len, each)])
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, x.typecode).astype(np.int32) for x in each)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str = "text", rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN) -> tuple[DataFrame, list[str]]:
-    """Adds the columns ``want`` (see KINDS) to ``df``; returns it and the names that they got.
+def encode_decode(df: DataFrame, want: tuple[str, ...] = ("ids",), text_col: str = "text", rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] | None = None) -> tuple[DataFrame, list[str]]:
+    """Adds the columns ``want`` (see KINDS) to ``df``, or to its columns ``keep``; returns it and the names
+    that they got.
 
     The ids are encoded from the whole text and decoded again; the rank file (under a MB) goes to the
-    executors by broadcast. Rows stream in Arrow batches; a worker keeps one batch and a bounded memo.
+    executors by broadcast. Rows stream in Arrow batches; a worker keeps one batch and a bounded memo of
+    packed ids. Columns that do not stay, the text among them, are not sent back.
     """
     spark = df.sparkSession
     with open(rank_file or public_tokenizers.path(RANKS), "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
-    names = [C.free_name(df.columns, w) for w in want]
+    columns = df.columns if keep is None else list(keep)
+    names = [C.free_name(columns, w) for w in want]
     fields = list(zip(names, want, strict=True))
+    sent, place = C.sent_once(df, text_col, columns, names)
 
     @_chunks.collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
-
+        kind = codec.kind
+        decimals = [str(i) for i in range(len(codec.tokens))] if "ids_sha256" in want else []
         counted, hashed, restored = "n_tokens" in want, "ids_sha256" in want, "decoded" in want or "decoded_sha256" in want
 
-        def encode(new: list[str]) -> list[tuple]:
-            kept = (lambda ids: array("i", ids).tobytes()) if "ids" in want else (lambda ids: None)
-            return [(kept(ids), " ".join(map(str, ids)) if hashed else None, codec.decode(ids) if restored else None, len(ids)) for ids in codec.encode_many(new)]
-
-        memo = _chunks.Memo(encode)
+        memo = _chunks.Memo(codec.packed)
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 some = batch.slice(at, ROWS)
                 got: dict[str, list] = {w: [] for w in want}
-                for found in memo.values(t.as_py() or "" for t in some.column(len(some.schema) - 1)):
+                for found in memo.values(t.as_py() or "" for t in some.column(place)):
+                    ids = array(kind, b"".join(found))
                     if "ids" in got:
-                        got["ids"].append(b"".join([x[0] for x in found]))
+                        got["ids"].append(ids)
                     if hashed:
-                        got["ids_sha256"].append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
+                        got["ids_sha256"].append(hashlib.sha256(" ".join(map(decimals.__getitem__, ids)).encode()).hexdigest())
                     if counted:
-                        got["n_tokens"].append(sum([x[3] for x in found]))
+                        got["n_tokens"].append(len(ids))
                     if restored:
-                        data = b"".join([x[2] for x in found])
+                        data = codec.decode(ids)
                         if "decoded" in got:
                             got["decoded"].append(data)
                         if "decoded_sha256" in got:
                             got["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
                 made = [_lists(got[w]) if w == "ids" else pa.array(got[w], KINDS[w][0]) for w in want]
-                kept = list(zip(some.schema.names, some.columns, strict=True))[:-1]
-                yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *made], names=[*(n for n, _ in kept), *names])
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(columns)], *made], names=[*some.schema.names[: len(columns)], *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` {KINDS[w][1]}" for n, w in fields)])
-    return df.withColumn(C.free_name([*df.columns, *names], "text_"), F.col(text_col)).mapInArrow(run, schema), names
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema[: len(columns)]), *(f"`{n}` {KINDS[w][1]}" for n, w in fields)])
+    return sent.mapInArrow(run, schema), names
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     want = ("n_tokens", "ids_sha256", "decoded_sha256")
-    out, names = encode_decode(docs, want)
+    out, names = encode_decode(docs, want, keep=("doc_id",))
     return out.select("doc_id", *(F.col(n).alias(w) for n, w in zip(names, want, strict=True)))
 
 

@@ -141,17 +141,17 @@ def find_items(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     for k in range(blocks):
         rows = [(r["item_id"], r["item"]) for r in clean.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
         sent = spark.sparkContext.broadcast(rows)
+        docs, place = C.sent_once(out, text_col, out.columns, [])
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, place=place) -> Iterator[pa.RecordBatch]:
             block = Items(sent.value, errors, least)
             for batch in batches:
-                found = [block.find(plain(t.as_py())) for t in batch.column(len(batch.schema) - 1)]
+                found = [block.find(plain(t.as_py())) for t in batch.column(place)]
                 old = batch.column(batch.schema.get_field_index(name)).to_pylist()
                 new = [o + [{"item_id": i, "distance": d} for i, d in f] for o, f in zip(old, found, strict=True)]
-                columns = {n: c for n, c in list(zip(batch.schema.names, batch.columns, strict=True))[:-1] if n != name} | {name: pa.array(new, kind)}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(new, kind)], names=[*batch.schema.names[: len(kept)], name])
 
-        out = out.withColumn(C.free_name(out.columns, "text_"), F.col(text_col)).mapInArrow(run, ", ".join([*kept, f"`{name}` {FOUND}"]))
+        out = docs.mapInArrow(run, ", ".join([*kept, f"`{name}` {FOUND}"]))
     return out, name
 
 

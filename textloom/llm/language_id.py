@@ -174,6 +174,8 @@ def predict(df: DataFrame, filters: Filters, text_col: str = "text") -> tuple[Da
     """``df`` with the predicted language and its score; returns it and the names of both columns."""
     lang, score = C.free_name(df.columns, "lang_pred"), C.free_name(df.columns, "score")
     sent = df.sparkSession.sparkContext.broadcast(filters)  # 2^SLOT_BITS masks
+    rows, place = C.sent_once(df, text_col, df.columns, [lang, score])
+    kept = len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +183,7 @@ def predict(df: DataFrame, filters: Filters, text_col: str = "text") -> tuple[Da
             scores: list[float] = []
             held: list[str] = []
             size = 0
-            for text in batch.column(len(batch.schema) - 1):
+            for text in batch.column(place):
                 held.append(text.as_py() or "")
                 size += len(held[-1])
                 if size >= GROUP_CHARS:
@@ -191,11 +193,10 @@ def predict(df: DataFrame, filters: Filters, text_col: str = "text") -> tuple[Da
             if held:
                 for out, got in zip((names, scores), sent.value.decide(held), strict=True):
                     out.extend(got)
-            kept = list(zip(batch.schema.names, batch.columns, strict=True))[:-1]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(n for n, _ in kept), lang, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:kept], lang, score])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{lang}` string", f"`{score}` double"])
-    return df.withColumn(C.free_name([*df.columns, lang, score], "text_"), F.col(text_col)).mapInArrow(run, schema), lang, score
+    return rows.mapInArrow(run, schema), lang, score
 
 
 def remainder(id_col: str, by: int) -> Column:
