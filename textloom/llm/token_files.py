@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Ids in a block: one checkpoint of 8 bytes for each.
 BLOCK = 1_024
+#: Ids packed at a time, whole blocks, so that what is in hand stays in a core's cache.
+RUN = 32 * BLOCK
 #: A segment is closed by the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 20
 #: Ids that a task orders and writes at most (about; a document stays whole).
@@ -110,21 +113,24 @@ class Codebook:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bit string, and the bit offset of every block."""
-        bits = self.bits[ids]
-        ends = np.cumsum(bits)
-        at = ends - bits
-        words = int(ends[-1] + 31) // 32 if len(ids) else 0
-        # Each code lies within 64 bits from the 32-bit word it starts in. Those that start in one word are
-        # joined, and the low half of each goes to the next word.
-        window = self.code[ids] << (64 - (at & 31) - bits).astype(np.uint64)
-        word = at >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        joined = np.zeros(words + 1, np.uint64)
-        if len(ids):
-            joined[word[first]] = np.bitwise_or.reduceat(window, first)
-        out = joined >> np.uint64(32)
-        out[1:] |= joined[:-1] & np.uint64(0xFFFFFFFF)
-        return out[:words].astype(">u4").tobytes(), at[::BLOCK].astype("<u8")
+        joined, blocks, done = np.zeros(len(ids) * self.longest // 32 + 2, np.uint64), [np.zeros(0, np.int64)], 0
+        for start in range(0, len(ids), RUN):
+            some = ids[start : start + RUN]
+            bits = self.bits[some]
+            ends = np.cumsum(bits) + done
+            at = ends - bits
+            # Each code lies within 64 bits from the 32-bit word it starts in. Those that start in one word are
+            # joined, and the low half of each goes to the next word.
+            window = self.code[some] << (64 - (at & 31) - bits).astype(np.uint64)
+            word = at >> 5
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            joined[word[first]] |= np.bitwise_or.reduceat(window, first)
+            blocks.append(at[::BLOCK])
+            done = int(ends[-1])
+        words = (done + 31) // 32
+        out = joined[: words + 1] >> np.uint64(32)
+        out[1:] |= joined[:words] & np.uint64(0xFFFFFFFF)
+        return out[:words].astype(">u4").tobytes(), np.concatenate(blocks).astype("<u8")
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n_ids: int) -> np.ndarray:
         """All ids of a segment: step by step through its blocks, all blocks in each step."""
@@ -146,7 +152,9 @@ class Codebook:
 #: pre-tokens are plain to see, so they go straight to the library's BPE model.
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: Rows handled at a time, so that a worker holds little beside its memo.
-ROWS = 512
+ROWS = 2_048
+#: Characters of plain texts whose words are looked up together; a longer text is a group of its own.
+GROUP_CHARS = 1 << 23
 
 
 def encoder(lib, kind: str) -> Callable[[str], bytes]:
@@ -187,6 +195,10 @@ _ODD = ("  ", " \n", "\n ", "\n\n", *map(chr, (0x09, 0x0B, 0x0C, 0x0D)))
 _ODD_BEYOND = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+#: Stands before a text's first word, which has no space before it: in no plain text.
+_FIRST = "\r"
+
+
 class Words(dict):
     """word -> packed ids, of the space or line end before it too; see ``Lines``.
 
@@ -205,7 +217,10 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         value = self.older.get(word)
         if value is None:
-            value = self._ids(word)
+            if word.isascii() and word.isalpha() and self.code:  # as below: two in three new words
+                value = array(self.code, [t.id for t in self.tokenize(self.space + word)]).tobytes()
+            else:
+                value = self._ids(word)
         if len(word) <= _chunks.MEMO_CHARS:
             self[word] = value
         return value
@@ -214,6 +229,8 @@ class Words(dict):
         after = self.marks.get(word[-1:])
         bare = word if after is None else word[:-1]
         if not (self.code and bare.isalpha()):
+            if word[:1] == _FIRST:
+                return self.encode(word[1:])
             return self.newline + self.encode(word[1:]) if word[:1] == "\n" else self.encode(" " + word)
         if after is not None and (known := self.get(bare) or self.older.get(bare)):
             return known + after
@@ -235,7 +252,8 @@ class Lines:
     """Packed ids of texts of words between single spaces and line ends, word by word.
 
     Each space begins a pre-token with the word after it, and each line end is one. So the ids of a text
-    are those of its words, where a word after a line end stands for both.
+    are those of its words, where a word after a line end stands for both. Arrow cuts the texts of a group
+    and finds their different words; only these are looked up here, and Arrow lays their ids in a row.
     """
 
     def __init__(self, lib, kind: str):
@@ -243,15 +261,38 @@ class Lines:
 
     def __call__(self, text: str) -> bytes | None:
         """None for any other text."""
+        return self.many([text])[0] if self.plain(text) else None
+
+    @staticmethod
+    def plain(text: str) -> bool:
         if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)):
-            return None
-        if not text.isascii() and any(map(text.__contains__, _ODD_BEYOND)):
-            return None
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = "\n" + words[0]
+            return False
+        return text.isascii() or not any(map(text.__contains__, _ODD_BEYOND))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Of plain texts, group by group."""
+        out: list[bytes] = []
+        first = size = 0
+        for i, text in enumerate(texts):
+            if i > first and size + len(text) > GROUP_CHARS:
+                out += self._group(texts[first:i])
+                first, size = i, 0
+            size += len(text)
+        return out + self._group(texts[first:])
+
+    def _group(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > _chunks.LOOKUP_ENTRIES:
             self.memo = self.memo.successor()
-        return b"".join(map(self.memo.__getitem__, words))[len(self.memo.newline) :]
+        if len(texts) == 1:
+            return [b"".join(map(self.memo.__getitem__, (_FIRST + texts[0].replace("\n", " \n")).split(" ")))]
+        cut = pc.split_pattern(pa.array([_FIRST + t.replace("\n", " \n") for t in texts], pa.string()), " ")
+        words = cut.values.dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(list(map(self.memo.__getitem__, different)), pa.binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        places = np.frombuffer(ends, np.int32)[cut.offsets.to_numpy()].tolist()
+        data = data.to_pybytes()
+        return [data[a:b] for a, b in zip(places, places[1:])]
 
 
 def _library(model: str):
@@ -309,13 +350,18 @@ def encoded(df: DataFrame, tokenizer_file: str | None = None, end_id: int = END_
             for at in range(0, len(batch), ROWS):
                 some = batch.slice(at, ROWS)
                 texts = [t.as_py() or "" for t in some.column(1)]
-                out = []
-                for t in texts:
-                    if by_cut and not any(w in t for w in whole):
-                        ids = lines(t)
-                        out.append((b"".join(map(state.memo.__getitem__, _chunks.cuts(t))) if ids is None else ids) + end)
+                out = [b""] * len(texts)
+                plain = []
+                for i, t in enumerate(texts):
+                    if not by_cut or any(w in t for w in whole):
+                        out[i] = np.array(lib.encode(t, add_special_tokens=False).ids, kind).tobytes() + end
+                    elif lines.plain(t):
+                        plain.append(i)
                     else:
-                        out.append(np.array(lib.encode(t, add_special_tokens=False).ids, kind).tobytes() + end)
+                        out[i] = b"".join(map(state.memo.__getitem__, _chunks.cuts(t))) + end
+                if plain:
+                    for i, ids in zip(plain, lines.many([texts[i] for i in plain]), strict=True):
+                        out[i] = ids + end
                 if state.memo.full():
                     state.memo = state.memo.successor()
                 got = np.bincount(np.frombuffer(b"".join(out), kind), minlength=len(total))
