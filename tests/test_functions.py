@@ -124,6 +124,25 @@ def test_confusion_keeps_what_it_should(spark):
     assert got == {(1, "a", "a"): 1, (1, "a", "x"): 1, (2, "c", "<gap>"): 1}
 
 
+def test_confusion_of_a_group_without_a_key(spark):
+    df = spark.createDataFrame([(None, "aab", "axb"), (None, "b𐍈b a", "b a"), (1, "q", "q")], "id long, gold string, pred string")
+    got = {(r.id, r.g, r.p): r.n for r in scoring.confusion(df, "pred", "gold", ["id"], top=1).collect()}
+    assert got == {(None, "a", "a"): 2, (None, "a", "x"): 1, (1, "q", "q"): 1}
+
+
+def test_rows_are_dealt_before_they_are_aligned(spark, monkeypatch):
+    task = lambda *_: F.array(F.struct(F.spark_partition_id().cast("string").alias("g"), F.lit("x").alias("p"), F.lit(1).alias("n"), F.lit(0).alias("at")))
+    monkeypatch.setattr(scoring, "pair_counts", task)
+    one_file = spark.range(0, 500, 1, 1).select("id", F.col("id").cast("string").alias("gold"), F.lit("x").alias("pred"))
+    assert scoring.merged_confusion(scoring.confusion(one_file, "pred", "gold", ["id"])).count() > 8
+
+
+def test_pair_counts(spark):
+    df = spark.createDataFrame([("aba", "aa"), ("aba", "aa"), ("", ""), (None, "a")], "g string, p string")
+    got = [r.x and [tuple(x) for x in r.x] for r in df.select(U.pair_counts("g", "p").alias("x")).collect()]
+    assert got == [[("a", "a", 2, 0), ("b", None, 1, 1)]] * 2 + [[], None]
+
+
 def test_wrap():
     assert U.wrap("one two three", 7) == ["one two", "three"]
     assert U.wrap("abcdefgh", 3) == ["abc", "def", "gh"]

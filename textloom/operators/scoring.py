@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 from textloom.functions import metrics as M
 from textloom.functions import text as T
-from textloom.functions.udf import aligned_pairs
+from textloom.functions.udf import pair_counts
 
 # Historic letters that confusion tables always show.
 HISTORIC = tuple("ѣѧѫѳѵѡѥѩѭѯѱ҂")
 GAP = "<gap>"
+#: Tasks that align rows, whatever the files they come from; twice as many rank what leaves them.
+PARTS = 64
 
 
 def scored(df: DataFrame, pred: str, gold: str, edits: M.Edits = M.distance) -> DataFrame:
@@ -48,15 +50,20 @@ def paired(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
 
 def confusion(df: DataFrame, pred: str, gold: str, by: list[str], top: int = 30, extra: tuple[str, ...] = HISTORIC) -> DataFrame:
     """(by, g, p, n): aligned character pairs with gaps; a pair stays if either side is among the row's
-    most common reference characters (spaces aside, ties by place) or the extra ones."""
-    norm = df.select(*by, T.collapse(F.col(gold)).alias("__g"), T.collapse(F.col(pred)).alias("__p"))
-    chars = norm.select(*by, F.posexplode(F.split("__g", "")).alias("at", "c")).where("c NOT IN ('', ' ')").groupBy(*by, "c").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "at"))
-    common = chars.withColumn("r", rank).where(F.col("r") <= top).groupBy(*by).agg(F.collect_set("c").alias("top"))
-    pairs = norm.select(*by, F.explode(aligned_pairs("__g", "__p")).alias("x")).select(*by, F.coalesce("x.g", F.lit(GAP)).alias("g"), F.coalesce("x.p", F.lit(GAP)).alias("p"))
-    counted = pairs.groupBy(*by, "g", "p").agg(F.count(F.lit(1)).alias("n")).join(common, by, "left")
-    shown = F.concat(F.coalesce("top", F.array().cast("array<string>")), F.array(*map(F.lit, extra)))
-    return counted.where(F.array_contains(shown, F.col("g")) | F.array_contains(shown, F.col("p"))).drop("top")
+    most common reference characters (spaces aside, ties by place) or the extra ones.
+
+    Rows are dealt to tasks before they are aligned, however few files they come from, and leave Python as
+    counts. A reference character is in one pair each time, so pairs also tell the most common ones.
+    """
+    norm = df.select(*by, T.collapse(F.col(gold)).alias("__g"), T.collapse(F.col(pred)).alias("__p")).repartition(PARTS, *by, "__g", "__p")
+    pairs = norm.select(*by, F.explode(pair_counts("__g", "__p")).alias("x")).select(*by, F.coalesce("x.g", F.lit(GAP)).alias("g"), F.coalesce("x.p", F.lit(GAP)).alias("p"), "x.n", "x.at")
+    counted = pairs.groupBy(*by, "g", "p").agg(F.sum("n").alias("n"), F.min("at").alias("__at")).repartition(2 * PARTS, *by)
+    same, group = Window.partitionBy(*by, "g"), Window.partitionBy(*by)
+    ranked = counted.select(*by, "g", "p", "n", F.col("g").isin(" ", GAP).alias("__aside"), F.sum("n").over(same).alias("__k"), F.min("__at").over(same).alias("__first"))
+    ranked = ranked.withColumn("__place", F.dense_rank().over(group.orderBy("__aside", F.desc("__k"), "__first", "g")))
+    common = F.collect_set(F.when(~F.col("__aside") & (F.col("__place") <= top), F.col("g"))).over(group)
+    shown = ranked.withColumn("__shown", F.concat(common, F.array(*map(F.lit, extra)).cast("array<string>")))
+    return shown.where(F.array_contains("__shown", F.col("g")) | F.array_contains("__shown", F.col("p"))).select(*by, "g", "p", "n")
 
 
 def merged_confusion(counts: DataFrame) -> DataFrame:
